@@ -12,6 +12,20 @@ from .common import shared_dir, table
 from .tokens import vocabulary
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find
+
+    def joined(suffix: str) -> Column:
+        def of_kind(kind: str) -> Column:
+            return F.transform(kind + suffix, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+
+        return F.array_join(F.concat(*[of_kind(k) for k in KINDS]), ",")
+
+    found = find(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(""), 256).alias("base_sha256"), joined("_all").alias("spans"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -19,6 +33,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import NO_ID, edited, fingerprint, likeness
+
+    rows = edited(table(spark, sf_dir, "documents"))
+    return rows.select(
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        fingerprint().alias("fingerprint"), fingerprint("edited_").alias("edited_fingerprint"),
+        likeness("", "edited_").alias("near_edited"), likeness("", "next_").alias("near_next"),
+    )
+
+
 def _joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -79,7 +104,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_packing": op2_packing,
+    "op3_fingerprints": op3_fingerprints,
     "op4_secrets": op4_secrets,
     "op5_decontamination": op5_decontamination,
     "op7_quality": op7_quality,
