@@ -17,10 +17,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, text_bytes
@@ -90,6 +89,23 @@ def _spans(positions: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _merged(runs: Column) -> Column:
+    """Runs that overlap or touch made one."""
+    kind = "struct<out:array<struct<start:bigint,end:bigint>>,start:bigint,end:bigint>"
+
+    def closed(acc: Column) -> Column:
+        last = F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
+        return F.when(acc["start"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], last))
+
+    def add(acc: Column, r: Column) -> Column:
+        grown = F.struct(acc["out"].alias("out"), acc["start"].alias("start"), F.greatest(acc["end"], r["end"]).alias("end"))
+        fresh = F.struct(closed(acc).alias("out"), r["start"].alias("start"), r["end"].alias("end"))
+        return F.when(r["start"] <= acc["end"], grown).otherwise(fresh)
+
+    none = F.struct(F.array().alias("out"), F.lit(None).alias("start"), F.lit(None).alias("end")).cast(kind)
+    return F.aggregate(F.array_sort(runs), none, add, closed)
+
+
 def pattern_blocks(benchmark: DataFrame, width: int, block_bytes: int, item_col: str, text_col: str) -> Iterator[dict[bytes, list[int]]]:
     """Dictionaries from windows to the items that have them, each of about ``block_bytes`` at most."""
 
@@ -146,20 +162,13 @@ def find(
     if len(parts) == 1:
         return parts[0].drop("row")
 
-    @F.pandas_udf("array<struct<start:long,end:long>>")
-    def merged(lists: pd.Series) -> pd.Series:
-        def one(runs):
-            return [{"start": a, "end": b} for a, b in _spans(sorted({p for r in runs for s in r for p in range(s["start"], s["end"])}))]
-
-        return lists.map(one)
-
     every = parts[0]
     for part in parts[1:]:
         every = every.union(part)
     by_text = every.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items")
     )
-    return by_text.select("doc_id", "n_words", merged("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    return by_text.select("doc_id", "n_words", _merged(F.flatten("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
 
 
 def original_spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
