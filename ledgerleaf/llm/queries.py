@@ -93,6 +93,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import linked_components
+
+    return linked_components(table(spark, sf_dir, "documents"), width=3, num=90)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import histogram_sort
 
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op7_quality": op7_quality,
     "op8_token_files": op8_token_files,
+    "op9_jaccard": op9_jaccard,
     "op10_sharding": op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}

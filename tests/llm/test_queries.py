@@ -228,3 +228,68 @@ def test_op10_sizes_are_near_equal(spark):
     sizes = [sum(r["size"] for r in rows if r["shard"] == k) for k in range(24)]
     most = max(r["size"] for r in rows)
     assert max(sizes) - min(sizes) <= 2 * most
+
+
+def shingle_set(text, width):
+    w = re.split(r"[\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    w = [x for x in w if x]
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def brute_components(texts, width, num):
+    sets = {d: shingle_set(t, width) for d, t in texts.items()}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    order = sorted((len(s), d) for d, s in sets.items() if s)
+    for i, (n, a) in enumerate(order):
+        for m, b in order[i + 1 :]:
+            if n * 100 < num * m:
+                break
+            shared = len(sets[a] & sets[b])
+            if 100 * shared >= num * (n + m - shared):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def test_op9(spark, hard_dir, texts):
+    want = brute_components(texts, 3, 90)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in result(spark, "op9_jaccard", hard_dir)}
+    assert got == want
+    assert len({c for _, c in want.values()}) < len(want) - 5
+
+
+def test_op9_chains_and_large_cells(spark, monkeypatch):
+    import random
+
+    from ledgerleaf.llm import jaccard
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts, serial = {}, 0
+    for family in range(6):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice((12, 60, 200)))]
+        for step in range(40 if family else 150):
+            edited = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2))):
+                edited[rng.randrange(len(edited))] = rng.choice(vocabulary)
+            if rng.random() < 0.3:
+                base = edited
+            texts[serial] = " ".join(edited)
+            serial += 1
+    common = " ".join(rng.choice(vocabulary) for _ in range(30))
+    for _ in range(150):
+        texts[serial] = common + " " + " ".join(rng.choice(vocabulary) for _ in range(40))
+        serial += 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 10)
+    for width, num in ((3, 90), (5, 80)):
+        want = brute_components(texts, width, num)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(docs, width, num).collect()}
+        assert got == want
