@@ -76,6 +76,14 @@ def _remainder(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    held_out = _remainder("doc_id", 10) == 0
+    scored = score(table(spark, sf_dir, "documents"), held_out)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, score
 
@@ -115,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_secrets": op4_secrets,
     "op5_decontamination": op5_decontamination,
+    "op6_language_model": op6_language_model,
     "op7_quality": op7_quality,
     "op8_token_files": op8_token_files,
     "op9_jaccard": op9_jaccard,

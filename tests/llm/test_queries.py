@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerleaf.llm import queries as Q
 from ledgerleaf.llm.tokens import vocabulary
@@ -293,3 +294,72 @@ def test_op9_chains_and_large_cells(spark, monkeypatch):
         want = brute_components(texts, width, num)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(docs, width, num).collect()}
         assert got == want
+
+
+def test_op6(spark, hard_dir, texts):
+    import math
+    from collections import Counter
+
+    def tokens(text):
+        return [x for x in re.split(r"[\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)})) if x] + [None]
+
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in texts}
+    c = Counter(t for d, x in texts.items() if not held[d] for t in tokens(x))
+    n, v = sum(c.values()), len(c)
+    rows = result(spark, "op6_language_model", hard_dir)
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = tokens(texts[r["doc_id"]])
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(c[x] > 0 for x in t), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t), rel=1e-9)
+        assert math.isfinite(r["score"]) and r["score"] <= 0
+
+
+def test_op6_prefers_words_and_spellings_it_has_learned(spark):
+    from ledgerleaf.llm.lm import score
+
+    import random
+
+    rng, rows = random.Random(2), []
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    for r in docs[:400]:
+        rows.append((r["doc_id"], r["text"]))
+        if r["doc_id"] % 10 == 0:
+            rows.append((10_000 + r["doc_id"], " ".join("".join(rng.sample(w, len(w))) for w in r["text"].split())))
+            rows.append((20_000 + r["doc_id"], " ".join(rng.sample(r["text"].split(), len(r["text"].split())))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score(df, F.col("doc_id") % 10 == 0).collect()}
+    plain = [d for d in got if d < 10_000 and d % 10 == 0]
+    assert all(got[d] > got[10_000 + d] for d in plain if len(docs[d]["text"]) > 200)
+    assert all(got[d] == pytest.approx(got[20_000 + d]) for d in plain)
+    # rarer words than fit into the filter are left to their spellings; nothing is dropped
+    small = {r.doc_id: r.score for r in score(df, F.col("doc_id") % 10 == 0, most_bits=1 << 20).collect()}
+    assert small.keys() == got.keys() and sum(small[d] > small[10_000 + d] for d in plain) > 0.9 * len(plain)
+
+
+def test_op6_filter_reads_counts_back(spark):
+    from ledgerleaf.llm import lm
+
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 63, 5000).astype(np.int64)
+    counts = np.minimum(rng.zipf(1.5, 5000), 10**8)
+    df = spark.createDataFrame([(int(k), int(c)) for k, c in zip(keys, counts)], "key long, c long")
+    entries = df.select("key", lm.level_of(df.c).alias("level")).selectExpr("key", "level", "1 as first")
+    total = entries.agg({"level": "sum"}).first()[0]
+    f = lm.LogFilter(lm.filter_pages(entries, max(1, lm.PER_ENTRY * total // lm.PAGE)), 1)
+    ratio = f.count(keys.view(np.uint64)) / counts
+    assert ((ratio > 0.7) & (ratio < 1.5)).mean() > 0.97 and (f.count(keys.view(np.uint64)) > 0).all()
+    assert (f.count(rng.integers(0, 1 << 63, 5000).astype(np.uint64)) > 0).mean() < 0.03
+
+
+def test_op6_probabilities_sum_to_one_over_spellings(spark):
+    from ledgerleaf.llm import lm
+
+    words = [b"ab", b"aba", b"ba", b"b", b"aab"]
+    df = spark.createDataFrame([(w, 50 + 10 * i) for i, w in enumerate(words)], "word binary, n long")
+    grams = lm.byte_grams(df)
+    entries = grams.select("key", lm.level_of(grams.n).alias("level")).selectExpr("key", "level", "1 as first")
+    s = lm.Scorer(lm.filter_pages(entries, 16), 1, 1, 1.0)
+    s.filter_bytes = df.selectExpr("sum((length(word) + 1) * n)").first()[0]
+    every = [bytes(x) for n in range(1, 8) for x in __import__("itertools").product(b"ab", repeat=n)]
+    assert 0.6 < (10 ** s.spelled(every)).sum() < 1.4
