@@ -171,6 +171,28 @@ def find(
     return by_text.select("doc_id", "n_words", _merged(F.flatten("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
 
 
+def clean(
+    docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 16 << 20,
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, without any hit; each block of patterns filters what the last one left."""
+    spark, at = ship(docs.sparkSession), docs.columns.index(text_col)
+
+    def without(rows: DataFrame, patterns: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _built_once(patterns)
+            for batch in batches:
+                free = [not scan(automaton, (text or "").encode())[1] for text in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(free, pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    for block in pattern_blocks(benchmark, width, block_bytes, item_col, item_text_col):
+        if block:
+            docs = without(docs, spark.sparkContext.broadcast(block))
+    return docs
+
+
 def original_spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Code-point spans in ``text`` of hit runs of words, for showing or cutting out what was found."""
     raw = text.encode()

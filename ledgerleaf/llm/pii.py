@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import salted_join, ship, stored, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
+#: Rows with discovered spans that are sent to all workers; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 17
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Fixed patterns of the base spans. A match starts where a run of its first class starts, or where the last one ended.
 PATTERNS = {
@@ -75,9 +77,13 @@ def _with_context(spans: Column, text: Column) -> Column:
     return F.transform(spans, one)
 
 
-def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each text: base spans by kind and candidates away from them, all with what stands before."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+def scanned(docs: DataFrame, id_col: str, text_col: str, keep: bool = False) -> DataFrame:
+    """A row for each text: base spans by kind and candidates away from them, all with what stands before; on request
+    also ``kept``, all columns of ``docs``."""
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")] if keep else []),
+    )
     text = F.col("text")
     needs = {"email": text.contains("@"), "ip": text.contains("."), "card": F.lit(True), "phone": text.contains("+")}
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
@@ -90,7 +96,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = F.concat(*KINDS)
     apart = F.filter("other", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     rows = rows.withColumn("other", apart)
-    return rows.select("row", "doc_id", *[_with_context(F.col(k), text).alias(k) for k in (*KINDS, "other")])
+    return rows.select("row", "doc_id", *(["kept"] if keep else []), *[_with_context(F.col(k), text).alias(k) for k in (*KINDS, "other")])
 
 
 def bootstrapped(occurrences: DataFrame, seeds: int, rounds: int, confidence: float) -> DataFrame:
@@ -127,7 +133,42 @@ def find(
     Texts are read once; what is kept of them, spans and two words before each, is written and reread for the graph.
     """
     ship(docs.sparkSession)
-    rows = stored(scanned(docs, id_col, text_col), "pii-spans")
+    return _with_discovered(stored(scanned(docs, id_col, text_col), "pii-spans"), seeds, rounds, confidence)
+
+
+def masked(
+    docs: DataFrame, seeds: int = 3, rounds: int = 3, confidence: float = 0.6, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, all columns, with every span in the text replaced by its kind in brackets. A null text stays
+    null; where spans overlap, the one that starts first names the mark."""
+    ship(docs.sparkSession)
+    rows = _with_discovered(stored(scanned(docs, id_col, text_col, keep=True), "pii-texts"), seeds, rounds, confidence)
+
+    def marked(kind: str) -> Column:
+        return F.transform(f"{kind}_all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("mark")))
+
+    def add(acc: Column, s: Column) -> Column:
+        piece = F.struct(acc["at"].alias("from"), s["start"].alias("start"), s["mark"].alias("mark"))
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out")
+        )
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<from:bigint,start:bigint,mark:string>>").alias("out"))
+    text = F.col(f"kept.`{text_col}`")
+    cuts = F.aggregate(F.array_sort(F.concat(*[marked(k) for k in KINDS])), zero, add)
+
+    def cut(begin: Column, end: Column) -> Column:
+        return F.substring(text, (begin + 1).cast("int"), (end - begin).cast("int"))
+
+    pieces = F.transform("cuts.out", lambda p: F.concat(cut(p["from"], p["start"]), p["mark"]))
+    tail = cut(F.col("cuts.at"), F.length(text).cast("long"))
+    new = F.when(F.size("cuts.out") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+    rows = rows.withColumn("cuts", cuts)
+    return rows.select(*[(new if c == text_col else F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _with_discovered(rows: DataFrame, seeds: int, rounds: int, confidence: float) -> DataFrame:
+    """``rows`` of ``scanned`` with plain spans of each kind, base and all."""
 
     def of_kind(spans: str, kind: str | None) -> Column:
         head = F.lit(kind).cast("string").alias("kind")
@@ -138,9 +179,10 @@ def find(
     behind = occurrences.where("kind is null").select("row", "start", "end", "left", "value")
     # a discovered string occurs as often as it likes: its occurrences are dealt over several tasks
     hits = salted_join(behind, new, ["left", "value"], F.col("row"))
-    found = hits.groupBy("row").agg(F.collect_set(F.struct("start", "end", "kind")).alias("new"))
+    found = stored(hits.groupBy("row").agg(F.collect_set(F.struct("start", "end", "kind")).alias("new")), "pii-new")
     span = "array<struct<start:bigint,end:bigint>>"
-    joined = rows.join(found, "row", "left")
+    # few rows have discovered spans: up to a bound they go to all workers, and texts stay where they are
+    joined = rows.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "row", "left")
 
     def plain(spans: Column) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
@@ -149,4 +191,5 @@ def find(
         new = plain(F.filter("new", lambda s: s["kind"] == kind))
         return F.array_sort(F.concat(plain(F.col(kind)), F.coalesce(new, F.array().cast(span)))).alias(f"{kind}_all")
 
-    return joined.select("doc_id", *[plain(F.col(k)).alias(k) for k in KINDS], *[every(k) for k in KINDS])
+    kept = ["kept"] if "kept" in rows.columns else []
+    return joined.select("doc_id", *kept, *[plain(F.col(k)).alias(k) for k in KINDS], *[every(k) for k in KINDS])

@@ -148,3 +148,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(run, SCHEMA)
+
+
+def kept(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``least`` or more; neither a join nor a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.scorer()
+        for batch in batches:
+            good = [of((text or "").encode()) >= least for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
