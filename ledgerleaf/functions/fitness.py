@@ -46,7 +46,8 @@ def _mixed_part(side: Column, n_side: Column, n: Column, labels: Column, s: Colu
 def measurement_entropy(
     le: Column, gt: Column, ex: Column, labels: Column, smoothing: float = 1.0, weights: tuple[float, float, float] = (-0.1, 1.0, -1.0)
 ) -> Column:
-    """The linear mix ``w0 * self + w1 * ce1 + w2 * ce2`` over structs (``label``, ``n``) of each side.
+    """The linear mix ``w0 * self + w1 * ce1 + w2 * ce2`` over structs (``label``, ``n``) of each side, in which every
+    label is listed; ``labels`` maps them to their counts over all sides.
 
     For a label's share x within all rows and the product y of its and the side's shares: ce1 sums x ln(s + y), ce2
     y ln(s + x) and self x ln(s + x), with s the smoothing over all rows.

@@ -89,11 +89,18 @@ def linear_entropy(found: DataFrame, smoothing: float = 1.0, weights: tuple[floa
     """Candidates with the mix of self and cross entropies as ``fitness``; it needs the labels, not just their counts."""
     pairs = F.concat("le", "gt", "ex")
     names = F.array_distinct(F.transform(pairs, lambda s: s["label"]))
-    of_label = F.map_from_arrays(
-        names, F.transform(names, lambda y: F.aggregate(pairs, F.lit(0.0), lambda a, s: a + F.when(s["label"] == y, s["n"].cast("double")).otherwise(0.0)))
-    )
-    value = fit.measurement_entropy(F.col("le"), F.col("gt"), F.col("ex"), F.col("_labels"), smoothing, weights)
-    return found.withColumn("_labels", of_label).withColumn("fitness", value).drop("_labels").where(F.col("fitness").isNotNull() & ~F.isnan("fitness"))
+
+    def n_of(rows: Column, y: Column) -> Column:
+        return F.aggregate(rows, F.lit(0.0), lambda a, s: a + F.when(s["label"] == y, s["n"].cast("double")).otherwise(0.0))
+
+    def full(side: str) -> Column:
+        """The side with all labels, those that it lacks too."""
+        return F.transform("_names", lambda y: F.struct(y.alias("label"), n_of(F.col(side), y).alias("n")))
+
+    named = found.withColumn("_names", names)
+    named = named.withColumns({"_labels": F.map_from_arrays("_names", F.transform("_names", lambda y: n_of(pairs, y)))} | {f"_{k}": full(k) for k in ("le", "gt", "ex")})
+    value = fit.measurement_entropy(F.col("_le"), F.col("_gt"), F.col("_ex"), F.col("_labels"), smoothing, weights)
+    return named.withColumn("fitness", value).select(*found.columns, "fitness").where(F.col("fitness").isNotNull() & ~F.isnan("fitness"))
 
 
 def best(found: DataFrame, keys: list[str] = ()) -> DataFrame:

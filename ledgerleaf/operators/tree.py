@@ -37,8 +37,13 @@ def child(node: Column, bit: Column) -> Column:
     return (3 * (node - 1) + bit + 2).cast("long")
 
 
+def _third(n: Column) -> Column:
+    """Whole-number division by 3; ids of deep nodes have more digits than a double."""
+    return F.call_function("div", n, F.lit(3)).cast("long")
+
+
 def parent(node: Column) -> Column:
-    return (F.floor((node - 2) / 3) + 1).cast("long")
+    return _third(node - 2) + 1
 
 
 def bit(node: Column) -> Column:
@@ -51,7 +56,7 @@ def path(node: Column) -> Column:
         F.sequence(F.lit(1), F.lit(MOST_DEPTH)),
         F.struct(node.cast("long").alias("at"), F.array().cast("array<int>").alias("bits")),
         lambda a, _: F.when(a["at"] <= 1, a).otherwise(
-            F.struct((F.floor((a["at"] - 2) / 3).cast("long") + 1).alias("at"), F.concat(F.array(F.pmod(a["at"] - 2, F.lit(3)).cast("int")), a["bits"]).alias("bits"))
+            F.struct((_third(a["at"] - 2) + 1).alias("at"), F.concat(F.array(F.pmod(a["at"] - 2, F.lit(3)).cast("int")), a["bits"]).alias("bits"))
         ),
     )
     return steps["bits"]

@@ -181,7 +181,9 @@ IDS = """RECURSIVE t(node_id, parent, branch, depth, path) AS (SELECT 1::BIGINT,
   UNION ALL SELECT 3 * (node_id - 1) + b + 2, node_id, b, depth + 1, path || b FROM t, (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT)) v(b) WHERE depth < 5)"""
 MIX = f"""{ITEMS}, tt AS (SELECT field, sum(n) AS n FROM (SELECT field, n FROM tot UNION ALL SELECT field, x FROM ex) GROUP BY 1),
   lab AS (SELECT field, y, sum(n) AS n FROM (SELECT field, y, n FROM tot UNION ALL SELECT field, y, x FROM ex) GROUP BY ALL),
-  sides AS (SELECT field, v, y, le AS c, 0 AS side FROM cum UNION ALL SELECT field, v, y, n - le, 1 FROM cum UNION ALL SELECT ex.field, s.v, ex.y, CAST(x AS DOUBLE), 2 FROM ex JOIN s USING (field)),
+  sides AS (SELECT s.field, s.v, lab.y, coalesce(cum.le, 0) AS c, 0 AS side FROM s JOIN lab USING (field) LEFT JOIN cum ON cum.field = s.field AND cum.v = s.v AND cum.y = lab.y
+    UNION ALL SELECT s.field, s.v, lab.y, coalesce(cum.n - cum.le, 0), 1 FROM s JOIN lab USING (field) LEFT JOIN cum ON cum.field = s.field AND cum.v = s.v AND cum.y = lab.y
+    UNION ALL SELECT s.field, s.v, lab.y, coalesce(CAST(ex.x AS DOUBLE), 0), 2 FROM s JOIN lab USING (field) LEFT JOIN ex ON ex.field = s.field AND ex.y = lab.y),
   terms AS (SELECT d.field, d.v, CAST(tt.n AS DOUBLE) AS nn, d.c / tt.n AS x, CAST(lab.n AS DOUBLE) * (CASE side WHEN 0 THEN c.ls WHEN 1 THEN c.gs ELSE c.xs END) / (CAST(tt.n AS DOUBLE) * tt.n) AS y, c.ls, c.gs
     FROM sides d JOIN tt USING (field) JOIN lab ON lab.field = d.field AND lab.y = d.y JOIN c ON c.field = d.field AND c.v = d.v)"""
 

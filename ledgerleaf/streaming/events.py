@@ -63,7 +63,8 @@ def judged_writes(operations: DataFrame) -> DataFrame:
         state.update((read, wrote))
         yield pd.DataFrame({"ptr": rows.ptr, "seq": rows.seq, "op": rows.op, "late": late})
 
-    return operations.groupBy("ptr").applyInPandasWithState(judge, "ptr long, seq long, op string, late boolean", "read long, wrote long", "append", "NoTimeout")
+    kind = operations.schema["ptr"].dataType.simpleString()
+    return operations.groupBy("ptr").applyInPandasWithState(judge, f"ptr {kind}, seq long, op string, late boolean", "read long, wrote long", "append", "NoTimeout")
 
 
 def consumed(operations: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
