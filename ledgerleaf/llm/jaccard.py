@@ -19,7 +19,7 @@ sets are linked; rows that repeat an id count as one node; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -164,6 +164,10 @@ def _checked_join(big: DataFrame, small: DataFrame, on: list[str], n_small: int)
     return big.join(F.broadcast(small) if n_small <= BROADCAST_ROWS else small, on)
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def frequent(docs: DataFrame, width: int) -> np.ndarray:
     """Shingles to come last in the order, ascending: at most a million, since each has a millionth of all or more.
 
@@ -222,8 +226,9 @@ def signatures(docs: DataFrame, width: int, num: int, den: int, last: np.ndarray
     return docs.mapInArrow(run, "doc_id long, n long, cid long, keys array<long>")
 
 
-def sets_of(docs: DataFrame, needed: DataFrame, n_needed: int, width: int) -> DataFrame:
-    """``cid``, sorted ``elements`` and ``bitmap`` of the classes in ``needed`` (``doc_id``, ``cid``), from their texts."""
+def derived(docs: DataFrame, needed: DataFrame, width: int, what: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """``cid`` and ``data``, derived from the sets of the classes in ``needed`` (``doc_id``, ``cid``), whose texts are
+    read again: sets are kept nowhere but where they are compared."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         seen = set()
@@ -231,12 +236,13 @@ def sets_of(docs: DataFrame, needed: DataFrame, n_needed: int, width: int) -> Da
             s = shingles(text, width)
             if len(s) and class_of(s) == cid and cid not in seen:
                 seen.add(cid)
-                yield cid, s.tobytes(), bitmap(s)
+                yield cid, what(s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(rows(batches), ["cid", "elements", "bitmap"], [pa.int64(), pa.binary(), pa.binary()], 512)
+        return _batches(rows(batches), ["cid", "data"], [pa.int64(), pa.binary()], 512)
 
-    return _checked_join(docs, needed, ["doc_id"], n_needed).select("doc_id", "text", "cid").mapInArrow(run, "cid long, elements binary, bitmap binary")
+    needed = stored(needed.distinct(), "needed")
+    return _checked_join(docs, needed, ["doc_id"], needed.count()).select("doc_id", "text", "cid").mapInArrow(run, "cid long, data binary")
 
 
 PAIR = ["a", "b"]
@@ -245,17 +251,15 @@ PAIR = ["a", "b"]
 def leader_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     """Round one. In each block of a cell, every entry is paired with the first leader it may be linked with; the cell's
     least class is a leader in all its blocks, other entries become leaders where no earlier one fits."""
-    block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    own = members.where("cid <> hub").withColumn("block", block)
-    hubs = own.select("key", "hub", "block").distinct().join(members.select("key", F.col("cid").alias("hub"), "cid", "n", "bitmap"), ["key", "hub"])
-    every = own.select("key", "block", F.lit(1).alias("rank"), "cid", "n", "bitmap").union(hubs.select("key", "block", F.lit(0).alias("rank"), "cid", "n", "bitmap"))
+    blocks = F.ceil(F.col("size") / BLOCK)
+    own = F.array(F.pmod(F.xxhash64("cid"), blocks))
+    hub = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    is_hub = F.col("cid") == F.col("hub")
+    every = members.select("key", F.explode(F.when(is_hub, hub).otherwise(own)).alias("block"), (~is_hub).alias("rank"), "cid", "n", "bitmap")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for _, group in groupby(_rows(batches), key=lambda r: r[:2]):
+        for (key, _), group in groupby(_rows(batches), key=lambda r: r[:2]):
             entries = list(group)
-            if len(entries) == 2:
-                yield entries[0][3], entries[1][3]
-                continue
             sizes = np.array([e[4] for e in entries])
             tree = SignatureTree(sizes, [e[5] for e in entries], num, den)
             free = np.ones(len(entries), dtype=bool)
@@ -266,14 +270,14 @@ def leader_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
                 found = tree.partners(e[4], np.frombuffer(e[5], dtype=U), free)
                 free[found] = False
                 for j in found:
-                    yield e[3], entries[j][3]
+                    yield key, e[3], entries[j][3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(pairs(batches), PAIR, [pa.int64()] * 2)
+        return _batches(pairs(batches), ["key", *PAIR], [pa.int64()] * 3)
 
     n = partitions(members.sparkSession)
     dealt = every.repartition(n, "key", "block").sortWithinPartitions("key", "block", "rank", "cid")
-    return dealt.select("key", "block", "rank", "cid", "n", "bitmap").mapInArrow(run, "a long, b long")
+    return dealt.select("key", "block", "rank", "cid", "n", "bitmap").mapInArrow(run, "key long, a long, b long")
 
 
 def remaining_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -281,7 +285,8 @@ def remaining_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     by_comp = members.groupBy("key", "comp").agg(F.count("*").alias("k"))
     cells = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("size"), F.max("k").alias("most"), F.count("*").alias("comps"))
     cells = cells.where("comps > 1").select("key", "major", F.ceil(F.col("most") / BLOCK).alias("majors"), F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("minors"))
-    rows = salted_join(members, cells, ["key"], F.col("cid"))
+    cells = stored(cells, "open-cells")
+    rows = _checked_join(members, cells, ["key"], cells.count())
     is_major, h = F.col("comp") == F.col("major"), F.xxhash64("cid")
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     own_minor, own_major = F.pmod(h, F.col("minors")), F.pmod(h, F.col("majors"))
@@ -315,15 +320,17 @@ def remaining_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.select("key", "kind", "x", "y", "left", "cid", "n", "comp", "bitmap").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those of the pairs whose sets have ``den * overlap >= num * union``. A set travels once for each bundle of up to
     some hundred partners, not once for each pair."""
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("bundles"))
     bundled = salted_join(pairs, counts, ["a"], F.col("b")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("bundles")).alias("bundle"))
-    plain = sets.select("cid", "elements")
-    firsts = bundled.select("a", "bundle").distinct().join(plain.withColumnRenamed("cid", "a"), "a").select("a", "bundle", F.lit(None).cast("long").alias("b"), "elements")
-    seconds = salted_join(bundled, plain.withColumnRenamed("cid", "b"), ["b"], F.col("a"), salts=1).select("a", "bundle", "b", "elements")
+    # either end's class with where its set has to go; null stands for the first end, once for each bundle
+    none = F.lit(None).cast("long").alias("b")
+    ends = bundled.select(F.col("a").alias("cid"), "a", "bundle", none).distinct().union(bundled.select(F.col("b").alias("cid"), "a", "bundle", "b"))
+    needed = ends.select("cid").distinct().join(reps, "cid").select(F.col("rep").alias("doc_id"), "cid")
+    sent = ends.join(stored(derived(docs, needed, width, lambda s: s.tobytes()), "sets"), "cid")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (a, _), group in groupby(_rows(batches), key=lambda r: r[:2]):
@@ -341,8 +348,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         return _batches(links(batches), PAIR, [pa.int64()] * 2)
 
     n = partitions(pairs.sparkSession)
-    dealt = firsts.union(seconds).repartition(n, "a", "bundle").sortWithinPartitions("a", "bundle", F.col("b").asc_nulls_first())
-    return dealt.select("a", "bundle", "b", "elements").mapInArrow(run, "a long, b long")
+    dealt = sent.repartition(n, "a", "bundle").sortWithinPartitions("a", "bundle", F.col("b").asc_nulls_first())
+    return dealt.select("a", "bundle", "b", "data").mapInArrow(run, "a long, b long")
 
 
 def linked_components(
@@ -360,19 +367,23 @@ def linked_components(
     cells = prefix.groupBy("key").agg(F.count("*").alias("size"), mark.alias("mark"), F.min("cid").alias("hub")).where("size > 1")
     cells = stored(cells.groupBy("size", "mark", "hub").agg(F.min("key").alias("key")).select("key", "size", "hub"), "cells")
     members = stored(_checked_join(prefix, cells, ["key"], cells.count()), "members")
-    needed = stored(members.select(F.col("rep").alias("doc_id"), "cid").distinct(), "needed")
-    sets = stored(sets_of(texts, needed, needed.count(), width), "sets")
-    members = members.join(sets.select("cid", "bitmap"), "cid")
+    bitmaps = derived(texts, members.select(F.col("rep").alias("doc_id"), "cid"), width, bitmap)
+    members = members.join(stored(bitmaps.withColumnRenamed("data", "bitmap"), "bitmaps"), "cid")
     reps = classes.select("cid", "rep")
 
     def by_rep(links: DataFrame) -> DataFrame:
         a, b = reps.toDF("a", "rep_a"), reps.toDF("b", "rep_b")
         return links.join(a, "a").join(b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
-    links = stored(by_rep(verified(leader_pairs(members, num, den), sets, num, den)), "links")
+    first = stored(leader_pairs(members, num, den), "leader-pairs")
+    links = stored(by_rep(verified(first, texts, reps, width, num, den)), "links")
     known = components(links).toDF("rep", "known")
-    with_comp = members.join(known, "rep", "left").withColumn("comp", F.coalesce("known", "rep"))
-    more = by_rep(verified(remaining_pairs(with_comp, num, den), sets, num, den))
+    # where no leader found a partner all pairs of a block have been looked at; so have those of a cell of two
+    again = first.select("key").distinct()
+    small = members.where(f"size between 3 and {BLOCK}").join(_sent(again), "key", "left_semi")
+    open_ = small.unionByName(members.where(F.col("size") > BLOCK))
+    with_comp = open_.join(known, "rep", "left").withColumn("comp", F.coalesce("known", "rep"))
+    more = by_rep(verified(remaining_pairs(with_comp, num, den), texts, reps, width, num, den))
     found = components(links.union(more)).toDF("rep", "component")
     # only classes of several rows or with links can have another component than their row's own id
     lookup = classes.select("cid", "rep", "copies").join(found, "rep", "left").where("copies > 1 or component is not null")
