@@ -2,7 +2,8 @@
 
 Texts become sets of word shingles. Equal sets are one class, and classes are compared, not copies. A pair above the
 threshold shares an element among the first few of both sets in any fixed order (prefix filter); the order here has
-shingles of many documents last. Classes with such an element in common meet in a cell; cells of the same members are one.
+shingles of many documents last. Classes with such an element in common and sizes that may be linked, directly or over
+others' sizes between, meet in a cell; cells of the same members are one.
 
 Within a cell stands a signature tree: its entries are bitmaps of the sets' elements, its nodes the OR of their entries'
 bitmaps with the range of their sizes. Entries and nodes are traversed against each other; what a bitmap has and a node
@@ -19,13 +20,14 @@ sets are linked; rows that repeat an id count as one node; an empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, salted_join, ship, stored, text_bytes
@@ -38,6 +40,8 @@ FREQUENT = 64
 BLOCK, LEAF = 512, 16
 #: Ids of at most so many rows are sent to all workers; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
+#: A class in at most so many cells of round two carries their list, so that a pair is told once, not in each shared cell.
+LISTED = 64
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 U = np.uint64
 
@@ -79,8 +83,8 @@ def class_of(s: np.ndarray) -> int:
 
 
 def bitmap_bits(n: int) -> int:
-    """Twice the elements or more, so that about a third of the bits are set."""
-    return max(64, 1 << (2 * n - 1).bit_length())
+    """Four times the elements or more, so that about a sixth of the bits are set."""
+    return max(64, 1 << (4 * n - 1).bit_length())
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -280,13 +284,18 @@ def leader_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.select("key", "block", "rank", "cid", "n", "bitmap").mapInArrow(run, "key long, a long, b long")
 
 
-def remaining_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Round two. All pairs of different components (``comp``) in a cell that may be linked, block by block."""
+def remaining_pairs(members: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
+    """Round two. All pairs of different components (``comp``) in a cell that may be linked, block by block; a pair in
+    several cells is told in the first that both classes list."""
     by_comp = members.groupBy("key", "comp").agg(F.count("*").alias("k"))
     cells = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("size"), F.max("k").alias("most"), F.count("*").alias("comps"))
     cells = cells.where("comps > 1").select("key", "major", F.ceil(F.col("most") / BLOCK).alias("majors"), F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("minors"))
     cells = stored(cells, "open-cells")
-    rows = _checked_join(members, cells, ["key"], cells.count())
+    rows = stored(_checked_join(members, cells, ["key"], cells.count()), "open-members")
+    # no more cells than a class has first elements
+    own = rows.groupBy("cid").agg(F.count("*").alias("in_cells"), F.collect_list("key").alias("listed"))
+    own = own.select("cid", F.when(F.col("in_cells") <= LISTED, F.array_sort("listed")).alias("listed"))
+    rows = rows.join(own.join(bitmaps, "cid"), "cid")
     is_major, h = F.col("comp") == F.col("major"), F.xxhash64("cid")
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     own_minor, own_major = F.pmod(h, F.col("minors")), F.pmod(h, F.col("majors"))
@@ -298,11 +307,12 @@ def remaining_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     with_major = F.transform(upto("majors"), lambda j: task(1, own_minor, j, F.lit(True)))
     with_minor = F.transform(upto("minors"), lambda j: task(0, F.least(own_minor, j), F.greatest(own_minor, j), own_minor <= j))
     tasks = F.when(is_major, of_major).otherwise(F.concat(with_major, with_minor))
-    dealt = rows.select("key", "cid", "n", "comp", "bitmap", F.inline(tasks))
+    dealt = rows.select("key", "cid", "n", "comp", "bitmap", "listed", F.inline(tasks))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for (_, kind, x, y), group in groupby(_rows(batches), key=lambda r: r[:4]):
+        for (key, kind, x, y), group in groupby(_rows(batches), key=lambda r: r[:4]):
             entries = list(group)
+            listed = [e[9] and set(e[9]) for e in entries]
             sizes, comps = np.array([e[6] for e in entries]), np.array([e[7] for e in entries])
             tree = SignatureTree(sizes, [e[8] for e in entries], num, den)
             left, cids = np.array([e[4] for e in entries]), np.array([e[5] for e in entries])
@@ -310,14 +320,42 @@ def remaining_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
                 among = comps != comps[i]
                 among &= (cids > cids[i]) if kind == 0 and x == y else ~left
                 for j in tree.partners(entries[i][6], np.frombuffer(entries[i][8], dtype=U), among):
-                    yield entries[i][5], entries[j][5]
+                    if not (listed[i] and listed[j]) or min(listed[i] & listed[j]) == key:
+                        yield entries[i][5], entries[j][5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches(pairs(batches), PAIR, [pa.int64()] * 2)
 
     n = partitions(members.sparkSession)
     dealt = dealt.repartition(n, "key", "kind", "x", "y").sortWithinPartitions("key", "kind", "x", "y")
-    return dealt.select("key", "kind", "x", "y", "left", "cid", "n", "comp", "bitmap").mapInArrow(run, "a long, b long")
+    return dealt.select("key", "kind", "x", "y", "left", "cid", "n", "comp", "bitmap", "listed").mapInArrow(run, "a long, b long")
+
+
+def cell_members(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """``key`` (the cell), ``cid``, ``rep``, ``n``, ``size`` and ``hub`` (the cell's least class) for every class of a cell.
+
+    Classes with a first element in common are cut, in the order of their sizes, where neighbours differ too much to be
+    linked. Sizes go in steps of the factor that separates linked ones, so that a key has few rows in the window.
+    """
+    prefix = classes.select("cid", "rep", "n", F.explode("keys").alias("key"))
+    keys = prefix.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
+    keys = keys.where((F.col("size") > 1) & ((F.col("size") > 2) | (num * F.col("most") <= den * F.col("least")))).select("key")
+    keys = stored(keys, "keys")
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) if num < den else F.col("n")).cast("int")
+    near = stored(_checked_join(prefix, keys, ["key"], keys.count()).withColumn("step", step), "near")
+    # a cell's members are told by their number and the sum of their hashes; of cells with the same members one is kept
+    mark = F.sum(F.xxhash64("cid").cast("decimal(20,0)"))
+    steps = near.groupBy("key", "step").agg(
+        F.count("*").alias("size"), mark.alias("mark"), F.min("cid").alias("hub"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    upward = Window.partitionBy("key").orderBy("step")
+    cut = F.coalesce(num * F.col("least") > den * F.lag("most").over(upward), F.lit(True))
+    steps = stored(steps.withColumn("cut", cut).withColumn("from", F.max(F.when(F.col("cut"), F.col("step"))).over(upward)), "steps")
+    cells = steps.groupBy("key", "from").agg(F.sum("size").alias("size"), F.sum("mark").alias("mark"), F.min("hub").alias("hub")).where("size > 1")
+    cells = cells.groupBy("size", "mark", "hub").agg(F.min(F.struct("key", "from")).alias("at")).select("at.*", "size", "hub")
+    chosen = stored(steps.select("key", "step", "from").join(cells, ["key", "from"]), "cells")
+    members = _checked_join(near, chosen, ["key", "step"], chosen.count())
+    return members.select(F.xxhash64("key", "from").alias("key"), "cid", "rep", "n", "size", "hub")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -361,21 +399,16 @@ def linked_components(
     rows = stored(signatures(texts, width, num, den, frequent(texts, width)), "signatures")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = stored(classes, "classes")
-    prefix = classes.select("cid", "rep", "n", F.explode("keys").alias("key"))
-    # a cell's members are told by their number and the sum of their hashes; of cells with the same members one is kept
-    mark = F.sum(F.xxhash64("cid").cast("decimal(20,0)"))
-    cells = prefix.groupBy("key").agg(F.count("*").alias("size"), mark.alias("mark"), F.min("cid").alias("hub")).where("size > 1")
-    cells = stored(cells.groupBy("size", "mark", "hub").agg(F.min("key").alias("key")).select("key", "size", "hub"), "cells")
-    members = stored(_checked_join(prefix, cells, ["key"], cells.count()), "members")
+    members = stored(cell_members(classes, num, den), "members")
     bitmaps = derived(texts, members.select(F.col("rep").alias("doc_id"), "cid"), width, bitmap)
-    members = members.join(stored(bitmaps.withColumnRenamed("data", "bitmap"), "bitmaps"), "cid")
+    bitmaps = stored(bitmaps.withColumnRenamed("data", "bitmap"), "bitmaps")
     reps = classes.select("cid", "rep")
 
     def by_rep(links: DataFrame) -> DataFrame:
         a, b = reps.toDF("a", "rep_a"), reps.toDF("b", "rep_b")
         return links.join(a, "a").join(b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
-    first = stored(leader_pairs(members, num, den), "leader-pairs")
+    first = stored(leader_pairs(members.join(bitmaps, "cid"), num, den), "leader-pairs")
     links = stored(by_rep(verified(first, texts, reps, width, num, den)), "links")
     known = components(links).toDF("rep", "known")
     # where no leader found a partner all pairs of a block have been looked at; so have those of a cell of two
@@ -383,7 +416,7 @@ def linked_components(
     small = members.where(f"size between 3 and {BLOCK}").join(_sent(again), "key", "left_semi")
     open_ = small.unionByName(members.where(F.col("size") > BLOCK))
     with_comp = open_.join(known, "rep", "left").withColumn("comp", F.coalesce("known", "rep"))
-    more = by_rep(verified(remaining_pairs(with_comp, num, den), texts, reps, width, num, den))
+    more = by_rep(verified(remaining_pairs(with_comp, bitmaps, num, den), texts, reps, width, num, den))
     found = components(links.union(more)).toDF("rep", "component")
     # only classes of several rows or with links can have another component than their row's own id
     lookup = classes.select("cid", "rep", "copies").join(found, "rep", "left").where("copies > 1 or component is not null")
