@@ -5,8 +5,8 @@ threshold shares an element among the first few of both sets in any fixed order
 shingles of many documents last. Classes with such an element in common and sizes that may be linked, directly or over
 others' sizes between, meet in a cell; cells of the same members are one.
 
-Within a cell stands a signature tree: its entries are bitmaps of the sets' elements, its nodes the OR of their entries'
-bitmaps with the range of their sizes. Entries and nodes are traversed against each other; what a bitmap has and a node
+Within a cell stands a signature tree: its entries are bitmaps of the sets' elements, its leaves the OR of their entries'
+bitmaps with the range of their sizes. Each entry is held against all leaves (one level, no node pairs yet); what a bitmap has and a node
 lacks bounds the overlap of all pairs below the node from above, and pairs that cannot reach the threshold are pruned.
 Pairs that may are verified on the sets themselves.
 
