@@ -6,12 +6,13 @@ is missing. A word's probability is its discounted count over all, plus the mass
 probability of its spelling under the byte n-grams, each order smoothed by the one below. Spellings are learned from
 different words, once each: new words resemble rare ones.
 
-The filter is blocked: an n-gram's bits lie in one page, pages are built by the tasks that own them, and the driver only
-joins them. It has at most ``most_bits`` bits, 32 MB, whatever the corpus: once all words would not fit, the filter
-starts at a higher level, and rarer words are scored by their spelling. Counting itself covers all training texts.
+The filter is blocked: an n-gram's bits lie in one page. It has ``PER_ENTRY`` bits for each entry, so that it grows with
+the corpus, and holds all words from their first level on. It is never in one place: pages are built by the tasks that
+own them, ranges of pages (at most ``most_bits`` bits, 32 MB, each) meet the keys that ask for them in one task, and the
+answers go back to the block of words that asked. A word is scored once, however many texts have it.
 
-Texts are dealt into chunks of some 16 MB. A chunk reports its distinct words, gets their exact counts back, and scores
-its texts with them: vocabularies of the whole corpus are never in one place.
+Texts are dealt into chunks of some 16 MB. A chunk reports its distinct words, gets their exact counts and probabilities
+back, and scores its texts with them: vocabularies of the whole corpus are never in one place.
 
 Defined cases: a null or empty text is its end token alone; a null id counts as held out; without training texts all
 counts are 0; repeated rows are counted and scored each; an empty table gives no rows; other columns are ignored.
@@ -20,6 +21,7 @@ counts are 0; repeated rows are counted and scored each; an empty table gives no
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -27,7 +29,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, ship, stored, text_bytes
@@ -41,6 +43,8 @@ BASE, PAGE, PER_ENTRY, PROBES = 1.5, 1 << 15, 12, 4
 ORDERS = 6
 DISCOUNT, SMOOTHING, ADDED = 0.5, 2.0, 0.1
 CHUNK_BYTES = 16 << 20
+#: Words of a block, and keys of a row that asks for counts.
+BLOCK_WORDS, ASKED = 25_000, 512
 SCHEMA = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -108,8 +112,12 @@ class LogFilter:
 
     def count(self, keys: np.ndarray, first: int = 1) -> np.ndarray:
         """Typical counts; 0 where already the ``first`` level is missing."""
+        return self.counts[self.levels(keys, self.page(keys), first)]
+
+    def levels(self, keys: np.ndarray, page: np.ndarray, first: int = 1) -> np.ndarray:
+        """Levels of keys whose bits lie in the given pages of ``bits``."""
         levels = np.zeros(len(keys), dtype=np.int64)
-        left, base = np.arange(len(keys)), self.page(keys) * U(PAGE)
+        left, base = np.arange(len(keys)), page.astype(U) * U(PAGE)
         level = first
         while len(left) and level < len(self.counts):
             there = np.ones(len(left), dtype=bool)
@@ -119,14 +127,27 @@ class LogFilter:
             left = left[there]
             levels[left] = level
             level += 1
-        return self.counts[levels]
+        return levels
+
+
+class Answers:
+    """Counts that the filter's ranges gave for ``keys``, ascending."""
+
+    first = 1
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        self.keys, self.counts = keys, typical_counts()[levels]
+
+    def count(self, keys: np.ndarray, first: int = 1) -> np.ndarray:
+        return self.counts[np.searchsorted(self.keys, keys)]
 
 
 class Scorer:
     """log10 probabilities of words under the filter."""
 
-    def __init__(self, bits: np.ndarray, first_level: int, total: int, left_mass: float):
-        self.filter, self.total, self.left = LogFilter(bits, first_level), max(1, total), left_mass
+    def __init__(self, bits: np.ndarray | Answers, first_level: int, total: int, left_mass: float):
+        self.filter = bits if isinstance(bits, Answers) else LogFilter(bits, first_level)
+        self.total, self.left = max(1, total), left_mass
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
         word, before, keys, contexts = spellings(words)
@@ -201,7 +222,16 @@ def byte_grams(words: DataFrame) -> DataFrame:
 
 
 def filter_pages(entries: DataFrame, n_pages: int) -> np.ndarray:
-    """Bits of a filter of ``n_pages`` pages with ``entries`` (``key``, ``level``, ``first``: levels first to level)."""
+    """The pages of a small filter in one array."""
+    out = np.zeros(n_pages * PAGE // 8, dtype=np.uint8)
+    for page, bits in page_bits(entries, n_pages).collect():
+        out[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(bits, dtype=np.uint8)
+    return out
+
+
+def page_bits(entries: DataFrame, n_pages: int) -> DataFrame:
+    """``page`` and ``bits`` of a filter of ``n_pages`` pages with ``entries`` (``key``, ``level``, ``first``: levels first
+    to level); pages without entries are left out."""
 
     def paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,10 +256,97 @@ def filter_pages(entries: DataFrame, n_pages: int) -> np.ndarray:
 
     spark = entries.sparkSession
     dealt = entries.mapInArrow(paged, "page int, key long, level int, first int").repartition(min(n_pages, partitions(spark)), "page")
-    out = np.zeros(n_pages * PAGE // 8, dtype=np.uint8)
-    for page, bits in dealt.mapInArrow(built, "page int, bits binary").collect():
-        out[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(bits, dtype=np.uint8)
-    return out
+    return dealt.mapInArrow(built, "page int, bits binary")
+
+
+def asked_keys(words: list[bytes], n_pages: int, per_range: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, that the probabilities of ``words`` need, and the order that sorts them by range and key."""
+    _, before, grams, contexts = spellings(words)
+    every = [word_keys(words)] + [g[before >= o] for o, g in enumerate(grams)] + [c[before >= o] for o, c in enumerate(contexts) if o]
+    keys = np.unique(np.concatenate(every))
+    return keys, np.argsort(range_of(keys, n_pages, per_range), kind="stable")
+
+
+def range_of(keys: np.ndarray, n_pages: int, per_range: int) -> np.ndarray:
+    return ((mixed(keys) >> U(20)) % U(n_pages) // U(per_range)).astype(np.int32)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def modelled(words: DataFrame, n_words: int, entries: DataFrame, n_entries: int, most_bits: int, total: int, left: float, n_bytes: int) -> DataFrame:
+    """``word``, ``c`` and ``model``, its log10 probability, for every row of ``words`` (``word``, ``c``).
+
+    A range of pages and the keys that fall into it meet in one task; a block of words asks all ranges.
+    """
+    n = partitions(words.sparkSession)
+    n_pages = max(1, -(-PER_ENTRY * n_entries // PAGE))
+    per_range = max(1, min(most_bits // PAGE, -(-n_pages // (4 * n))))
+    n_blocks = max(n, -(-n_words // BLOCK_WORDS))
+    blocks = words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(n_blocks)).cast("int"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, group in groupby(_rows(batches), key=lambda r: r[0]):
+            keys, order = asked_keys([w for _, w in group], n_pages, per_range)
+            keys = keys[order]
+            at_range = range_of(keys, n_pages, per_range)
+            starts = np.flatnonzero(np.diff(at_range, prepend=-1))
+            rows = [(int(at_range[a]), block, i, keys[i : min(i + ASKED, b)].tobytes()) for a, b in zip(starts, [*starts[1:], len(keys)]) for i in range(a, b, ASKED)]
+            for i in range(0, len(rows), 2000):
+                columns = zip(zip(*rows[i : i + 2000]), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["range", "block", "at", "data"])
+
+    dealt = blocks.select("block", "word").repartition(n, "block").sortWithinPartitions("block")
+    asked = dealt.mapInArrow(ask, "range int, block int, at int, data binary")
+    pages = page_bits(entries, n_pages).select(F.floor(F.col("page") / per_range).cast("int").alias("range"), F.lit(-1).alias("block"), F.col("page").alias("at"), F.col("bits").alias("data"))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at_range, group in groupby(_rows(batches), key=lambda r: r[0]):
+            bits, held = np.zeros(per_range * PAGE // 8, dtype=np.uint8), []
+            part = LogFilter(bits, 1)
+            for _, block, at, data in group:
+                if block < 0:
+                    page = at - at_range * per_range
+                    bits[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(data, dtype=np.uint8)
+                    continue
+                held.append((block, at, data))
+                if len(held) >= 1000:
+                    yield answered(part, at_range, held)
+                    held = []
+            if held:
+                yield answered(part, at_range, held)
+
+    def answered(part: LogFilter, at_range: int, held: list[tuple]) -> pa.RecordBatch:
+        keys = np.frombuffer(b"".join(data for _, _, data in held), dtype=U)
+        page = (mixed(keys) >> U(20)) % U(n_pages) - U(at_range * per_range)
+        levels, ends = part.levels(keys, page).astype(np.uint8).tobytes(), np.cumsum([len(data) // 8 for _, _, data in held]).tolist()
+        rows = [(block, at, levels[a:b]) for (block, at, _), a, b in zip(held, [0, *ends], ends)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["block", "at", "data"])
+
+    together = pages.union(asked).repartition(n, "range").sortWithinPartitions("range", "block")
+    answers = together.mapInArrow(answer, "block int, at int, data binary")
+
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(_rows(batches), key=lambda r: r[0]):
+            parts, listed, counts = [], [], []
+            for _, at, data, c in group:
+                if at >= 0:
+                    parts.append(data)
+                else:
+                    listed.append(data)
+                    counts.append(c)
+            keys, order = asked_keys(listed, n_pages, per_range)
+            levels = np.empty(len(keys), dtype=np.int64)
+            levels[order] = np.frombuffer(b"".join(parts), dtype=np.uint8)
+            scorer = Scorer(Answers(keys, levels), 1, total, left)
+            scorer.filter_bytes = n_bytes
+            yield pa.RecordBatch.from_arrays([pa.array(listed, pa.binary()), pa.array(counts, pa.int64()), pa.array(scorer.log10(listed))], ["word", "c", "model"])
+
+    own = blocks.select("block", F.lit(-1).alias("at"), F.col("word").alias("data"), "c")
+    joined = own.union(answers.select("block", "at", "data", F.lit(None).cast("long").alias("c"))).repartition(n, "block").sortWithinPartitions("block", "at")
+    return joined.mapInArrow(model, "word binary, c long, model double")
 
 
 def score(docs: DataFrame, held_out: Column, most_bits: int = 1 << 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,54 +357,40 @@ def score(docs: DataFrame, held_out: Column, most_bits: int = 1 << 28, id_col: s
     n_chunks = max(partitions(spark), -(-size // CHUNK_BYTES))
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
 
-    of_word = Window.partitionBy("word")
-    counted = chunk_words(chunked).select(
-        "chunk", "word", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("chunk")) == 1).alias("first")
-    )
-    counted = stored(counted, "word-counts")
-    known = counted.where("first and c > 0")
+    chunk_word = stored(chunk_words(chunked), "chunk-words")
+    words = stored(chunk_word.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    known = words.where("c > 0")
     by_level = known.groupBy(level_of(F.col("c")).alias("level")).agg(F.count("*").alias("types"), F.sum("c").alias("tokens")).collect()
     total, types = sum(r.tokens for r in by_level), sum(r.types for r in by_level)
 
     grams = stored(byte_grams(known.select("word", F.lit(1).cast("long").alias("n"))), "byte-grams")
     spelled = grams.agg(F.sum(level_of(F.col("n")).cast("long"))).first()[0] or 0
-    first = 1
-
-    def entries_from(level: int) -> int:
-        return spelled + sum(r.types * (r.level - level + 1) for r in by_level if r.level >= level)
-
-    while PER_ENTRY * entries_from(first) > most_bits and any(r.level >= first for r in by_level):
-        first += 1
-    n_pages = max(1, min(most_bits, PER_ENTRY * entries_from(first)) // PAGE)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = word_keys(batch.column(0).to_pylist()).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(1)], ["key", "level"])
 
-    words = known.select("word", level_of(F.col("c")).alias("level")).where(F.col("level") >= first).mapInArrow(keyed, "key long, level int")
-    entries = words.withColumn("first", F.lit(first)).union(grams.select("key", level_of(F.col("n")).alias("level"), F.lit(1).alias("first")))
-    bits = spark.sparkContext.broadcast(filter_pages(entries, n_pages))
-    # what the discount and the words outside the filter leave
-    left = sum(r.types * DISCOUNT if r.level >= first else r.tokens for r in by_level) / total if total else 1.0
-    n_bytes = grams_total(known)
+    by_word = known.select("word", level_of(F.col("c")).alias("level")).mapInArrow(keyed, "key long, level int")
+    entries = by_word.union(grams.select("key", level_of(F.col("n")).alias("level"))).withColumn("first", F.lit(1))
+    n_entries = spelled + sum(r.types * r.level for r in by_level)
+    # what the discount leaves
+    left = types * DISCOUNT / total if total else 1.0
+    found = modelled(words, words.count(), entries, n_entries, most_bits, total, left, grams_total(known))
     smoothed = math.log10(total + ADDED * (types + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(bits.value, first, total, left)
-        scorer.filter_bytes = n_bytes
-        every = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        for _, chunk in groupby(every, key=lambda r: r[0]):
-            place, counts, tables, out = {}, [], None, []
-            for _, is_text, word, c, doc, text in chunk:
+        for _, chunk in groupby(_rows(batches), key=lambda r: r[0]):
+            place, counts, models, tables, out = {}, array("q"), array("d"), None, []
+            for _, is_text, word, c, model, doc, text in chunk:
                 if not is_text:
                     place[word] = len(counts)
                     counts.append(c)
+                    models.append(model)
                     continue
                 if tables is None:
-                    exact, listed = np.array(counts, dtype=float), list(place)
-                    model = np.concatenate([scorer.log10(listed[a : a + 50_000]) for a in range(0, len(listed), 50_000)])
-                    tables = np.log10(exact + ADDED), exact > 0, model
+                    exact = np.array(counts, dtype=float)
+                    tables = np.log10(exact + ADDED), exact > 0, np.array(models)
                 at = np.fromiter(map(place.__getitem__, words_of(text)), dtype=np.int64)
                 base, seen, model = (t[at].sum() for t in tables)
                 out.append((doc, len(at), int(seen), total, float(base) - len(at) * smoothed, float(model)))
@@ -298,8 +401,9 @@ def score(docs: DataFrame, held_out: Column, most_bits: int = 1 << 28, id_col: s
                 yield batch_of(out)
 
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    tokens = counted.select("chunk", F.lit(0).alias("is_text"), "word", "c", none("long", "doc_id"), none("binary", "text"))
-    texts = chunked.select("chunk", F.lit(1).alias("is_text"), none("binary", "word"), none("long", "c"), "doc_id", "text")
+    listed = chunk_word.select("chunk", "word").join(stored(found, "modelled"), "word")
+    tokens = listed.select("chunk", F.lit(0).alias("is_text"), "word", "c", "model", none("long", "doc_id"), none("binary", "text"))
+    texts = chunked.select("chunk", F.lit(1).alias("is_text"), none("binary", "word"), none("long", "c"), none("double", "model"), "doc_id", "text")
     together = tokens.union(texts).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "is_text")
     return together.mapInArrow(run, SCHEMA)
 

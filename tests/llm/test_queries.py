@@ -363,3 +363,12 @@ def test_op6_probabilities_sum_to_one_over_spellings(spark):
     s.filter_bytes = df.selectExpr("sum((length(word) + 1) * n)").first()[0]
     every = [bytes(x) for n in range(1, 8) for x in __import__("itertools").product(b"ab", repeat=n)]
     assert 0.6 < (10 ** s.spelled(every)).sum() < 1.4
+
+
+def test_op6_filter_grows_in_ranges_and_leaves_no_word_out(spark):
+    from ledgerleaf.llm.lm import score
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole, ranges = ({r.doc_id: r.score for r in score(docs, F.col("doc_id") % 10 == 0, most_bits=bits).collect()} for bits in (1 << 28, 1 << 15))
+    # one page a range: as many ranges as pages, and the same counts
+    assert whole.keys() == ranges.keys() and all(ranges[d] == pytest.approx(s, rel=1e-12) for d, s in whole.items())
