@@ -14,6 +14,12 @@ answers go back to the block of words that asked. A word is scored once, however
 Texts are dealt into chunks of some 16 MB. A chunk reports its distinct words, gets their exact counts and probabilities
 back, and scores its texts with them: vocabularies of the whole corpus are never in one place.
 
+With ``word_orders`` above 1, word n-grams up to that order are counted over all training texts too. A piece of a chunk reports its
+distinct n-grams with their counts to ranges of keys; a range adds them up, puts their levels into its own filter and
+probes it for every piece that asked. A token's probability then starts from that of the word and is smoothed upwards:
+with each longer context before it, an end token at the start of a text, its count over the context's, plus the shorter
+context's probability. A context that no training text has leaves the shorter one's probability. Keys have 48 bits.
+
 Defined cases: a null or empty text is its end token alone; a null id counts as held out; without training texts all
 counts are 0; repeated rows are counted and scored each; an empty table gives no rows; other columns are ignored.
 """
@@ -43,8 +49,12 @@ BASE, PAGE, PER_ENTRY, PROBES = 1.5, 1 << 15, 12, 4
 ORDERS = 6
 DISCOUNT, SMOOTHING, ADDED = 0.5, 2.0, 0.1
 CHUNK_BYTES = 16 << 20
+#: Word n-grams are asked for, and texts scored, by these parts of a chunk.
+PIECES = 8
 #: Words of a block, and keys of a row that asks for counts.
 BLOCK_WORDS, ASKED = 25_000, 512
+#: Bytes of texts for each range of word n-grams, and bytes of a key and of a count in transit.
+RANGE_BYTES, KEY_BYTES, COUNT_BYTES = 4 << 20, 6, 4
 SCHEMA = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -349,13 +359,151 @@ def modelled(words: DataFrame, n_words: int, entries: DataFrame, n_entries: int,
     return joined.mapInArrow(model, "word binary, c long, model double")
 
 
-def score(docs: DataFrame, held_out: Column, most_bits: int = 1 << 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def word_grams(h: np.ndarray, starts: np.ndarray, orders: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order from 2 on the keys of the word n-grams of texts one after another (``h``: hashes of their tokens,
+    ``starts``: where texts begin), and which tokens have one: an end token stands before each text."""
+    at = np.arange(len(h)) - np.repeat(starts, np.diff(starts, append=len(h)))
+    before = np.concatenate((word_keys([END]), h[:-1]))
+    before[starts] = word_keys([END])[0]
+    keys, has = [], []
+    for order in range(2, orders + 1):
+        # what the token before has as its n-gram of the order below is the context
+        key = mixed(mixed(before + U(order)) + h)
+        keys.append(key & ~U(0xFFFF))
+        has.append(at >= order - 2)
+        before = np.concatenate((key[:1], key[:-1]))
+    return keys, has
+
+
+def planes(values: np.ndarray, first: int) -> bytes:
+    """Bytes of the values from the ``first`` highest down, all highest bytes together: what is alike packs well."""
+    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, first:].T).tobytes()
+
+
+def from_planes(data: bytes, n: int, last: int) -> np.ndarray:
+    """Values of the ``n`` items in ``data``, whose lowest byte is byte ``last`` of 8."""
+    raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, n).T
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, last + 1 - raw.shape[1] : last + 1] = raw
+    return out.view(">u8").reshape(-1).astype(U)
+
+
+def gram_range(keys: np.ndarray, n_ranges: int) -> np.ndarray:
+    return ((keys >> U(32)) * U(n_ranges) >> U(32)).astype(np.int32)
+
+
+def gram_levels(chunked: DataFrame, size: int, orders: int) -> DataFrame:
+    """``piece``, ``at``, ``part`` and ``data``: in the order of ``at`` and ``part`` the levels of a piece's distinct word
+    n-grams of orders 2 to ``orders``, by ascending key."""
+    n = partitions(chunked.sparkSession)
+    n_ranges = max(4 * n, size // RANGE_BYTES)
+
+    def asking(piece: int, hashes: list[np.ndarray], held: list[bool]) -> Iterator[pa.RecordBatch]:
+        lengths = np.array([len(h) for h in hashes])
+        keys, has = word_grams(np.concatenate(hashes), np.cumsum(lengths) - lengths, orders)
+        trained = np.repeat(~np.array(held), lengths)
+        every, place = np.unique(np.concatenate([k[x] for k, x in zip(keys, has)]), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([trained[x] for x in has]), minlength=len(every)).astype(np.int64)
+        at_range = gram_range(every, n_ranges)
+        starts, rows = np.flatnonzero(np.diff(at_range, prepend=-1)), []
+        for a, b in zip(starts, [*starts[1:], len(every)]):
+            for part, i in enumerate(range(a, b, ASKED)):
+                j = min(i + ASKED, b)
+                rows.append((int(at_range[a]), piece, part, planes(every[i:j], 0)[: KEY_BYTES * (j - i)] + planes(counts[i:j], 8 - COUNT_BYTES)))
+                if len(rows) >= 2000:
+                    yield grams_batch(rows, "at")
+                    rows = []
+        if rows:
+            yield grams_batch(rows, "at")
+
+    def grams_batch(rows: list[tuple], first: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], [first, "piece", "part", "data"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, group in groupby(_rows(batches), key=lambda r: r[0]):
+            known, hashes, held = Hashes(), [], []
+            for _, held_out, text in group:
+                found = words_of(text)
+                hashes.append(np.fromiter(map(known.__getitem__, found), dtype=U, count=len(found)))
+                held.append(held_out)
+            del known
+            yield from asking(piece, hashes, held)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, group in groupby(_rows(batches), key=lambda r: r[0]):
+            asked, keys, counts = [], [], []
+            for _, piece, part, data in group:
+                m = len(data) // (KEY_BYTES + COUNT_BYTES)
+                asked.append((piece, part, m))
+                keys.append(from_planes(data[: KEY_BYTES * m], m, KEY_BYTES - 1))
+                counts.append(from_planes(data[KEY_BYTES * m :], m, 7).astype(np.float64))
+            every, place = np.unique(np.concatenate(keys), return_inverse=True)
+            c = np.bincount(place, weights=np.concatenate(counts), minlength=len(every))
+            seen = np.flatnonzero(c)
+            levels = (np.floor(np.log(c[seen] * (1 + 1e-12)) / math.log(BASE)) + 1).astype(np.int64)
+            part_filter = filled(every[seen], levels)
+            found = part_filter.levels(every, part_filter.page(every)).astype(np.uint8)[place].tobytes()
+            ends = np.cumsum([m for _, _, m in asked]).tolist()
+            rows = [(at, piece, part, found[a:b]) for (piece, part, _), a, b in zip(asked, [0, *ends], ends)]
+            for i in range(0, len(rows), 4000):
+                yield grams_batch(rows[i : i + 4000], "at")
+
+    kind = "at int, piece int, part int, data binary"
+    dealt = chunked.repartition(n, "piece").sortWithinPartitions("piece").select("piece", "held_out", "text")
+    return dealt.mapInArrow(ask, kind).repartition(n, "at").sortWithinPartitions("at").mapInArrow(answer, kind)
+
+
+def filled(keys: np.ndarray, levels: np.ndarray) -> LogFilter:
+    """A filter of these keys, with levels 1 to the given one."""
+    n_pages = max(1, -(-PER_ENTRY * int(levels.sum()) // PAGE))
+    bits = np.zeros(n_pages * PAGE, dtype=bool)
+    page = (mixed(keys) >> U(20)) % U(n_pages) * U(PAGE)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        there = levels >= level
+        for probe in range(PROBES):
+            bits[(page[there] + LogFilter.spots(keys[there], level, probe)).astype(np.int64)] = True
+    return LogFilter(np.packbits(bits, bitorder="little"), 1)
+
+
+class Hashes(dict):
+    """Keys of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def in_context(model: np.ndarray, at: np.ndarray, starts: np.ndarray, hashes: np.ndarray, exact: np.ndarray, end: int, levels: np.ndarray, orders: int) -> np.ndarray:
+    """log10 probabilities of tokens (``at``: their words' numbers, of which ``end`` is the end token's) behind the words
+    before them; ``levels`` are those of the tokens' distinct n-grams by ascending key."""
+    keys, has = word_grams(hashes[at], starts, orders)
+    every, place = np.unique(np.concatenate([k[x] for k, x in zip(keys, has)]), return_inverse=True)
+    if len(every) != len(levels):
+        raise ValueError("answers do not belong to these n-grams")
+    counts = typical_counts()[levels[place]]
+    around = np.concatenate(([end], at[:-1]))
+    around[starts] = end
+    p, n, done = 10.0 ** np.maximum(model[at], -300), exact[around], 0
+    for x in has:
+        c = np.zeros(len(at))
+        c[x] = counts[done : done + int(x.sum())]
+        done += int(x.sum())
+        n = np.where(x, np.maximum(n, c), 0)
+        # the more often a context is met, the more different words follow it
+        lower = SMOOTHING * np.sqrt(np.maximum(n, 1))
+        p = (c + lower * p) / (n + lower)
+        n = np.concatenate(([0], c[:-1]))
+    return np.log10(p)
+
+
+def score(docs: DataFrame, held_out: Column, most_bits: int = 1 << 28, id_col: str = "doc_id", text_col: str = "text", word_orders: int = 1) -> DataFrame:
     """Counts and scores of every text; those where ``held_out``, a condition on ``doc_id``, is false are learned from."""
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(True)))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n_chunks = max(partitions(spark), -(-size // CHUNK_BYTES))
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
+    chunked = rows.withColumn("piece", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks * PIECES)).cast("int"))
+    chunked = chunked.withColumn("chunk", F.floor(F.col("piece") / PIECES).cast("int"))
 
     chunk_word = stored(chunk_words(chunked), "chunk-words")
     words = stored(chunk_word.groupBy("word").agg(F.sum("n").alias("c")), "words")
@@ -381,30 +529,50 @@ def score(docs: DataFrame, held_out: Column, most_bits: int = 1 << 28, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunk in groupby(_rows(batches), key=lambda r: r[0]):
-            place, counts, models, tables, out = {}, array("q"), array("d"), None, []
-            for _, is_text, word, c, model, doc, text in chunk:
-                if not is_text:
-                    place[word] = len(counts)
-                    counts.append(c)
-                    models.append(model)
+            place, counts, models, tables = {}, array("q"), array("d"), None
+            for piece, rows in groupby(chunk, key=lambda r: r[1]):
+                if piece < 0:
+                    for _, _, _, _, _, word, c, model, _, _ in rows:
+                        place[word] = len(counts)
+                        counts.append(c)
+                        models.append(model)
                     continue
                 if tables is None:
                     exact = np.array(counts, dtype=float)
-                    tables = np.log10(exact + ADDED), exact > 0, np.array(models)
-                at = np.fromiter(map(place.__getitem__, words_of(text)), dtype=np.int64)
-                base, seen, model = (t[at].sum() for t in tables)
-                out.append((doc, len(at), int(seen), total, float(base) - len(at) * smoothed, float(model)))
-                if len(out) >= 2000:
-                    yield batch_of(out)
-                    out = []
-            if out:
-                yield batch_of(out)
+                    tables = exact, np.array(models), word_keys(list(place)) if word_orders > 1 else None
+                yield from scored(place, *tables, rows)
+
+    def scored(place: dict[bytes, int], exact: np.ndarray, model: np.ndarray, hashes: np.ndarray | None, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        levels, ids, lengths, tokens = [], [], [], array("i")
+        for _, _, what, _, _, data, _, _, doc, text in rows:
+            if what == 1:
+                levels.append(data)
+                continue
+            found = words_of(text)
+            tokens.extend(map(place.__getitem__, found))
+            ids.append(doc)
+            lengths.append(len(found))
+        at = np.array(tokens, dtype=np.int64)
+        starts = np.cumsum(lengths) - np.array(lengths)
+        if word_orders > 1:
+            scores = in_context(model, at, starts, hashes, exact, place[END], np.frombuffer(b"".join(levels), dtype=np.uint8), word_orders)
+        else:
+            scores = model[at]
+        base, seen, scores = (np.add.reduceat(t, starts) for t in (np.log10(exact + ADDED)[at], (exact > 0)[at].astype(np.int64), scores))
+        out = [(d, n, int(k), total, float(b) - n * smoothed, float(m)) for d, n, k, b, m in zip(ids, lengths, seen, base, scores)]
+        for i in range(0, len(out), 2000):
+            yield batch_of(out[i : i + 2000])
 
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     listed = chunk_word.select("chunk", "word").join(stored(found, "modelled"), "word")
-    tokens = listed.select("chunk", F.lit(0).alias("is_text"), "word", "c", "model", none("long", "doc_id"), none("binary", "text"))
-    texts = chunked.select("chunk", F.lit(1).alias("is_text"), none("binary", "word"), none("long", "c"), none("double", "model"), "doc_id", "text")
-    together = tokens.union(texts).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "is_text")
+    no_part = [F.lit(0).alias("at"), F.lit(0).alias("part")]
+    together = listed.select("chunk", F.lit(-1).alias("piece"), F.lit(0).alias("what"), *no_part, "word", "c", "model", none("long", "doc_id"), none("binary", "text"))
+    if word_orders > 1:
+        answers = gram_levels(chunked, size, word_orders)
+        answers = answers.select(F.floor(F.col("piece") / PIECES).cast("int").alias("chunk"), "piece", F.lit(1).alias("what"), "at", "part", F.col("data").alias("word"), none("long", "c"), none("double", "model"), none("long", "doc_id"), none("binary", "text"))
+        together = together.union(answers)
+    texts = chunked.select("chunk", "piece", F.lit(2).alias("what"), *no_part, none("binary", "word"), none("long", "c"), none("double", "model"), "doc_id", "text")
+    together = together.union(texts).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "piece", "what", "at", "part")
     return together.mapInArrow(run, SCHEMA)
 
 

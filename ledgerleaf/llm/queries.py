@@ -80,7 +80,7 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score
 
     held_out = _remainder("doc_id", 10) == 0
-    scored = score(table(spark, sf_dir, "documents"), held_out)
+    scored = score(table(spark, sf_dir, "documents"), held_out, word_orders=3)
     return scored.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -372,3 +372,47 @@ def test_op6_filter_grows_in_ranges_and_leaves_no_word_out(spark):
     whole, ranges = ({r.doc_id: r.score for r in score(docs, F.col("doc_id") % 10 == 0, most_bits=bits).collect()} for bits in (1 << 28, 1 << 15))
     # one page a range: as many ranges as pages, and the same counts
     assert whole.keys() == ranges.keys() and all(ranges[d] == pytest.approx(s, rel=1e-12) for d, s in whole.items())
+
+
+def test_op6_word_contexts_against_exact_counts(spark):
+    import math
+    from collections import Counter
+
+    from ledgerleaf.llm.lm import score
+
+    train = ["a b c d", "a b c e", "b c d", "x a b"]
+    held = ["a b c d", "d c b a", "q a b", "", "a", "b", "c", "d", "q"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(train)] + [(100 + i, t) for i, t in enumerate(held)], "doc_id long, text string")
+    one, three = ({r.doc_id: r.score for r in score(df, F.col("doc_id") >= 100, word_orders=k).collect()} for k in (1, 3))
+    of_word = {w: one[100 + i] - (one[103] if w else 0) for i, w in enumerate(held) if len(w) < 2}
+
+    c = Counter()
+    for t in train:
+        w = ["", *t.split(), ""]
+        c.update((x,) for x in w[1:])
+        c.update(tuple(w[i : i + k]) for k in (2, 3) for i in range(len(w) - k + 1))
+    exact = lambda n: 4.5 if n in (4, 5) else n  # noqa: E731  what a level stands for
+    for i, t in enumerate(held):
+        w, total = ["", *t.split(), ""], 0
+        for j in range(1, len(w)):
+            p, n = 10 ** of_word[w[j]], c[(w[j - 1],)]
+            for k in range(2, min(3, j + 1) + 1):
+                gram = exact(c[tuple(w[j - k + 1 : j + 1])])
+                n = max(n, gram) if k == 2 else max(exact(c[tuple(w[j - k + 1 : j])]), gram)
+                p = (gram + 2 * max(n, 1) ** 0.5 * p) / (n + 2 * max(n, 1) ** 0.5)
+            total += math.log10(p)
+        assert three[100 + i] == pytest.approx(total, rel=1e-6), t
+
+
+def test_op6_query_hears_the_order_of_words(spark, tmp_path):
+    import random
+
+    rng, rows = random.Random(3), []
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    for r in docs:
+        words = r["text"].split()
+        rows += [r, {"doc_id": r["doc_id"] + 100_000, "text": " ".join(rng.sample(words, len(words)))}]
+    spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in result(spark, "op6_language_model", str(tmp_path))}
+    long = [r["doc_id"] for r in docs if len(r["text"].split()) > 20]
+    assert any(got[d] != pytest.approx(got[d + 100_000]) for d in long)
