@@ -1,7 +1,8 @@
 """Sharding by histogram sort: shards are stretches of one order of all rows, cut so that their bytes are near equal.
 
-A row's place in the order is a number of 63 bits: 12 from the hash of its text, so that equal texts lie together, then
-51 from the hash of id and text, so that even a group of copies that holds a third of all rows can be cut. The bytes below
+A row's place in the order is a number of 63 bits: 40 from the hash of its text, so that equal texts lie together and a
+cut tears one group of them at most, then 23 from the hash of id and text, so that even a group of copies that holds a
+third of all rows can be cut. The bytes below
 candidate boundaries are counted exactly over all partitions; each splitter's interval is probed again, 256 times finer,
 until it meets the tolerance or lies next to a single row. Only then the rows are exchanged, once.
 
@@ -18,15 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import ship, stored
 
-BITS, FIRST, NEXT = 63, 12, 8
-#: Rows are numbered within the cells of this many leading bits; a cell's offset is known from the counts.
-CELL_BITS = 18
+BITS, TEXT, FIRST, NEXT = 63, 40, 12, 8
+#: Rows are numbered within the cells of this many leading bits; a cell's offset is known from the counts. Cells of more
+#: than this many rows, and than a 4096th of all, are cut into groups of equal texts, and each group into 64.
+CELL_BITS, HEAVY, FINE_BITS = 18, 1024, TEXT + 6
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    by_text = F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), 64 - FIRST), BITS - FIRST)
-    by_row = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - (BITS - FIRST))
+    by_text = F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), 64 - TEXT), BITS - TEXT)
+    by_row = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - (BITS - TEXT))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     return rows.select("doc_id", "text", size.alias("size"), by_text.bitwiseOR(by_row).alias("place"))
 
@@ -83,10 +85,14 @@ def histogram_sort(
     shard: Column = F.lit(0)
     for cut in cuts:
         shard = shard + (F.col("place") >= F.lit(cut)).cast("int")
-    cell = F.shiftright("place", BITS - CELL_BITS)
+    coarse = F.shiftright("place", BITS - CELL_BITS)
+    least = max(HEAVY, sizes.count() // 4096)
+    # fewer than 4096, as each has that share of the rows
+    heavy = [r.cell for r in sizes.groupBy(coarse.alias("cell")).count().where(F.col("count") > least).collect()]
+    cell = F.when(coarse.isin(heavy), F.shiftright("place", BITS - FINE_BITS)).otherwise(F.shiftleft(coarse, FINE_BITS - CELL_BITS))
     below = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = sizes.select(shard.alias("shard"), cell.alias("cell")).groupBy("shard", "cell").count()
-    # at most 2 ** CELL_BITS + n_shards rows of three numbers
+    # about 2 ** CELL_BITS + n_shards rows of three numbers, and for each heavy cell 64 and its other rows
     offsets = F.broadcast(counts.select("shard", "cell", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("offset")))
     dealt = rows.withColumns({"shard": shard, "cell": cell})
     inner = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("place", "doc_id"))

@@ -416,3 +416,19 @@ def test_op6_query_hears_the_order_of_words(spark, tmp_path):
     got = {r["doc_id"]: r["score"] for r in result(spark, "op6_language_model", str(tmp_path))}
     long = [r["doc_id"] for r in docs if len(r["text"].split()) > 20]
     assert any(got[d] != pytest.approx(got[d + 100_000]) for d in long)
+
+
+def test_op10_a_cut_tears_one_group_of_equal_texts(spark):
+    from ledgerleaf.llm.sharding import histogram_sort
+
+    many = spark.range(80_000).selectExpr("id as doc_id", "concat('text ', id % 40000) as text")
+    docs = many.union(spark.range(100_000, 140_000).selectExpr("id", "'the same'"))
+    rows = histogram_sort(docs).cache()
+    torn = rows.groupBy("text").agg(F.countDistinct("shard").alias("k")).where("k > 1").count()
+    assert torn <= 23
+    by_shard = rows.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"), F.sum("size").alias("size")).collect()
+    assert len(by_shard) == 24 and all(r.n == r.slots == r.last + 1 for r in by_shard)
+    assert max(r.size for r in by_shard) - min(r.size for r in by_shard) <= 0.01 * sum(r.size for r in by_shard) / 24
+    # equal texts stand side by side
+    runs = {(r.shard, r.text): (r.a, r.b, r.n) for r in rows.groupBy("shard", "text").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).collect()}
+    assert all(b - a + 1 == n for a, b, n in runs.values())
