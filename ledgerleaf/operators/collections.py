@@ -88,4 +88,5 @@ def queued_at(operations: DataFrame, keys: list[str], order: str, is_add: Column
     """Elements in the queue at a moment: added up to it and not yet returned."""
     adds = operations.where(is_add & (F.col(order) <= at)).select(*keys, F.col(order).alias("add_seq"))
     gone = takes(operations.where(F.col(order) <= at), keys, order, is_add).select(*keys, "add_seq")
-    return adds.join(gone, [*keys, "add_seq"], "left_anti")
+    same = [adds[c].eqNullSafe(gone[c]) for c in keys] + [adds["add_seq"] == gone["add_seq"]]
+    return adds.join(gone, same, "left_anti")

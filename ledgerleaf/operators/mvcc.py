@@ -6,10 +6,13 @@ operations(ptr, txn, eff, seq, op, ...): a log in ``seq`` order of reads, locks
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import asof_join, lagged, running_max_before
+from .ordered import asof_join, lagged
 
 GC_NS, ORPHAN_NS = 15 * 10**9, 7 * 10**9
 
@@ -60,26 +63,57 @@ def recovered(locks: DataFrame, now: Column, oldest: int = ORPHAN_NS) -> DataFra
     return locks.withColumn("outcome", F.when(~old, "held").when(F.col("state") == "COMMIT", "forward").otherwise("back"))
 
 
-def conflicts(operations: DataFrame) -> DataFrame:
-    """The verdict on every lock from earlier operations on its key: a foreign lock still held (``held``), a later read
-    (``read``), a later committed version (``version``), or ``ok``.
+VERDICTS = "ptr {ptr}, txn long, eff long, seq long, op string, verdict string"
+
+
+def replayed(operations: DataFrame) -> DataFrame:
+    """The verdict on every read and lock, by a replay of each key's log in ``seq`` order.
+
+    ``released`` is the ``seq`` at which the operation's transaction ended (null: never), ``committed`` whether by commit.
+    A lock is ``held`` if another transaction's granted lock still stands, else ``ok`` if its own does, else ``read`` if
+    an earlier read is of a later time, else ``version`` if a committed version is, else ``ok``: only then it stands. A
+    read is ``held`` behind a foreign lock of an earlier time, else ``ok``, and only then marks the key as read.
 
-    ``released`` is the ``seq`` at which a lock's transaction ended (null: never); a lock committed if ``committed``.
+    A verdict hangs on those before it, so that a key's log is one task's; it streams, and the state is five numbers.
     """
-    is_lock = F.col("op") == "lock"
-    never = F.lit((1 << 63) - 1)
-    marks = running_max_before(
-        operations, ["ptr"], "seq",
-        {
-            "_read": F.when(F.col("op") == "read", F.col("eff")),
-            "_version": F.when(is_lock & F.col("committed"), F.col("eff")),
-            "_held": F.when(is_lock, F.coalesce("released", never)),
-        },
-    )
-    verdict = (
-        F.when(F.col("_held") > F.col("seq"), "held").when(F.col("_read") > F.col("eff"), "read").when(F.col("_version") > F.col("eff"), "version").otherwise("ok")
-    )
-    return marks.where(is_lock).select("ptr", "txn", "eff", "seq", verdict.alias("verdict"))
+    ptr = operations.schema["ptr"].dataType
+    rows = operations.select("ptr", *[F.col(c).cast("long").alias(c) for c in ("txn", "eff", "seq")], "op", F.coalesce("committed", F.lit(False)).alias("committed"), F.col("released").cast("long").alias("released"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = None, True
+        for batch in batches:
+            verdicts = []
+            for key, txn, eff, seq, op, committed, released in zip(*(c.to_pylist() for c in batch.columns)):
+                if first or key != at:
+                    at, first, lock, read, version = key, False, None, None, None
+                if lock and lock[1] is not None and lock[1] <= seq:
+                    if lock[3]:
+                        version = lock[2] if version is None else max(version, lock[2])
+                    lock = None
+                if op == "read":
+                    held = lock and lock[0] != txn and lock[2] < eff
+                    verdicts.append("held" if held else "ok")
+                    if not held:
+                        read = eff if read is None else max(read, eff)
+                elif lock:
+                    verdicts.append("ok" if lock[0] == txn else "held")
+                elif read is not None and read > eff:
+                    verdicts.append("read")
+                elif version is not None and version > eff:
+                    verdicts.append("version")
+                else:
+                    verdicts.append("ok")
+                    lock = txn, released, eff, committed
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(verdicts, pa.string())], ["ptr", "txn", "eff", "seq", "op", "verdict"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.where("op in ('read', 'lock')").repartition(n, "ptr").sortWithinPartitions("ptr", "seq")
+    return dealt.mapInArrow(run, VERDICTS.format(ptr=ptr.simpleString()))
+
+
+def conflicts(operations: DataFrame) -> DataFrame:
+    """The verdict on every lock: ``ok``, or what stands against it."""
+    return replayed(operations).where("op = 'lock'").drop("op")
 
 
 def collect_garbage(versions: DataFrame, now: Column, horizon: int = GC_NS) -> DataFrame:

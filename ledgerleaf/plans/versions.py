@@ -9,9 +9,20 @@ from ..sources.tables import operations, table, versions
 DAY = 86_400_000_000
 MID = 1_705_276_800_000_000  # 2024-01-15 in microseconds
 V = "v AS (SELECT user_id AS ptr, epoch_us(ts) AS eff, event_id AS seq, value, event_type = 'error' AS deleted FROM events)"
-OPS = """ops AS (SELECT user_id AS ptr, event_id AS txn, event_id * 1000 + event_id * 7919 % 600000 AS eff, event_id AS seq,
-  CASE WHEN event_type = 'purchase' THEN 'lock' ELSE 'read' END AS op, event_id % 3 <> 0 AS committed,
-  CASE WHEN event_id % 11 <> 0 THEN event_id + event_id % 400 END AS released FROM events WHERE event_type IN ('view', 'purchase'))"""
+OPS = """RECURSIVE ops AS (SELECT *, row_number() OVER (PARTITION BY ptr ORDER BY seq) AS rn FROM (SELECT user_id % 512 AS ptr, event_id // 5 AS txn,
+  event_id // 5 * 1000 + event_id // 5 * 7919 % 600000 AS eff, event_id AS seq, event_type = 'purchase' AS is_lock, event_id // 5 % 3 <> 0 AS committed,
+  CASE WHEN event_id // 5 % 11 <> 0 THEN event_id // 5 * 5 + 5 + event_id // 5 % 4000 END AS released FROM events WHERE event_type IN ('view', 'purchase'))),
+  s(ptr, rn, txn, eff, seq, is_lock, verdict, l_txn, l_rel, l_eff, l_com, rd, ve) AS (
+    SELECT DISTINCT ptr, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, false, '', NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, false, NULL::BIGINT, NULL::BIGINT FROM ops
+    UNION ALL
+    SELECT ptr, rn, txn, eff, seq, is_lock, v, CASE WHEN v = 'ok' AND is_lock AND h_txn IS NULL THEN txn ELSE h_txn END, CASE WHEN v = 'ok' AND is_lock AND h_txn IS NULL THEN released ELSE h_rel END,
+      CASE WHEN v = 'ok' AND is_lock AND h_txn IS NULL THEN eff ELSE h_eff END, CASE WHEN v = 'ok' AND is_lock AND h_txn IS NULL THEN committed ELSE h_com END,
+      CASE WHEN v = 'ok' AND NOT is_lock THEN greatest(rd, eff) ELSE rd END, ve
+    FROM (SELECT *, CASE WHEN NOT is_lock THEN CASE WHEN h_txn <> txn AND h_eff < eff THEN 'held' ELSE 'ok' END WHEN h_txn <> txn THEN 'held' WHEN h_txn = txn THEN 'ok'
+        WHEN rd > eff THEN 'read' WHEN ve > eff THEN 'version' ELSE 'ok' END AS v
+      FROM (SELECT o.*, CASE WHEN s.l_rel <= o.seq THEN NULL ELSE s.l_txn END AS h_txn, CASE WHEN s.l_rel <= o.seq THEN NULL ELSE s.l_rel END AS h_rel, CASE WHEN s.l_rel <= o.seq THEN NULL ELSE s.l_eff END AS h_eff,
+        CASE WHEN s.l_rel <= o.seq THEN false ELSE s.l_com END AS h_com, s.rd, CASE WHEN s.l_rel <= o.seq AND s.l_com THEN greatest(s.ve, s.l_eff) ELSE s.ve END AS ve
+        FROM s JOIN ops o ON o.ptr = s.ptr AND o.rn = s.rn + 1)))"""
 
 
 def _versions(spark, sf):
@@ -48,6 +59,10 @@ def txn7_conflicts(spark, sf):
     return mvcc.conflicts(operations(table(spark, sf, "events")))
 
 
+def txn6_timed_reads(spark, sf):
+    return mvcc.replayed(operations(table(spark, sf, "events"))).where("op = 'read'").drop("op")
+
+
 def txn10_published(spark, sf):
     return mvcc.published(_staged(spark, sf), _states(spark, sf)).select("ptr", "eff", "txn", "value")
 
@@ -124,10 +139,8 @@ QUERIES = {
   r AS (SELECT user_id AS ptr, epoch_us(ts) AS eff, event_id AS read_seq FROM events WHERE event_type = 'view')
   SELECT r.read_seq, r.ptr, CASE WHEN NOT w.deleted THEN w.seq END AS version_seq, CASE WHEN NOT w.deleted THEN w.value END AS value
   FROM r ASOF LEFT JOIN w ON r.ptr = w.ptr AND r.eff >= w.eff"""),
-    "txn7_conflicts": (txn7_conflicts, f"""WITH {OPS}, m AS (SELECT *, max(CASE WHEN op = 'read' THEN eff END) OVER w AS rd, max(CASE WHEN op = 'lock' AND committed THEN eff END) OVER w AS ve,
-  max(CASE WHEN op = 'lock' THEN coalesce(released, 9223372036854775807) END) OVER w AS held
-  FROM ops WINDOW w AS (PARTITION BY ptr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-  SELECT ptr, txn, eff, seq, CASE WHEN held > seq THEN 'held' WHEN rd > eff THEN 'read' WHEN ve > eff THEN 'version' ELSE 'ok' END AS verdict FROM m WHERE op = 'lock'"""),
+    "txn6_timed_reads": (txn6_timed_reads, f"WITH {OPS} SELECT ptr, txn, eff, seq, verdict FROM s WHERE rn > 0 AND NOT is_lock"),
+    "txn7_conflicts": (txn7_conflicts, f"WITH {OPS} SELECT ptr, txn, eff, seq, verdict FROM s WHERE rn > 0 AND is_lock"),
     "txn10_published": (txn10_published, """WITH s AS (SELECT l_orderkey AS txn, l_partkey AS ptr, max(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
   j AS (SELECT s.*, epoch_us(o_orderdate) AS eff FROM s JOIN orders ON o_orderkey = txn WHERE o_orderstatus = 'F')
   SELECT ptr, eff, txn, value FROM (SELECT *, row_number() OVER (PARTITION BY ptr, eff ORDER BY txn DESC) AS rn FROM j) WHERE rn = 1"""),

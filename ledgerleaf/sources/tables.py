@@ -42,12 +42,12 @@ def versions(events: DataFrame) -> DataFrame:
 
 
 def operations(events: DataFrame) -> DataFrame:
-    """Events as reads and locks of users by one transaction each, whose times run out of step with the log."""
-    seq, n = F.col("event_id"), F.col("event_id") * 7919
+    """Events as reads and locks of users by transactions of five events each, whose times run out of step with the log."""
+    seq, txn = F.col("event_id"), F.floor(F.col("event_id") / 5)
     op = F.when(F.col("event_type") == "purchase", "lock").otherwise("read")
     return events.where("event_type in ('view', 'purchase')").select(
-        F.col("user_id").alias("ptr"), seq.alias("txn"), (seq * 1000 + n % 600_000).alias("eff"), seq.alias("seq"), op.alias("op"),
-        (seq % 3 != 0).alias("committed"), F.when(seq % 11 != 0, seq + seq % 400).alias("released"),
+        (F.col("user_id") % 512).alias("ptr"), txn.alias("txn"), (txn * 1000 + txn * 7919 % 600_000).alias("eff"), seq.alias("seq"), op.alias("op"),
+        (txn % 3 != 0).alias("committed"), F.when(txn % 11 != 0, txn * 5 + 5 + txn % 4000).alias("released"),
     )
 
 

@@ -128,21 +128,63 @@ def test_reads_at_their_times(spark, width):
     assert v.count() and mvcc.snapshot(v, 10**6).count() == mvcc.latest(v).count()
 
 
-def test_locks_and_writes_against_a_replay(spark):
+def replay(rows):
+    """Verdicts by keeping every granted lock, every mark and every version in lists."""
+    want, granted, marks = {}, [], []
+    for p, txn, eff, seq, op, committed, released in rows:
+        standing = [g for g in granted if g[0] == p and (g[3] is None or g[3] > seq)]
+        assert len({g[1] for g in standing}) <= 1
+        foreign = [g for g in standing if g[1] != txn]
+        if op == "read":
+            want[seq] = "held" if any(g[2] < eff for g in foreign) else "ok"
+            if want[seq] == "ok":
+                marks.append((p, eff))
+            continue
+        ended = [g[2] for g in granted if g[0] == p and g[4] and g[3] is not None and g[3] <= seq]
+        if standing:
+            want[seq] = "held" if foreign else "ok"
+        elif any(q == p and e > eff for q, e in marks):
+            want[seq] = "read"
+        elif any(e > eff for e in ended):
+            want[seq] = "version"
+        else:
+            want[seq] = "ok"
+            granted.append((p, txn, eff, released, committed))
+    return want
+
+
+def test_locks_and_reads_against_a_replay(spark):
     rng = random.Random(9)
-    rows, never = [], 1 << 62
-    for i in range(300):
-        rows.append((rng.choice("ab"), i, rng.randrange(1000), i, rng.choice(["read", "lock"]), rng.random() < 0.5, rng.choice([None, i + rng.randrange(1, 9)])))
-    want = {}
-    for n, (p, _, eff, seq, op, _, _) in enumerate(rows):
-        if op == "lock":
-            before = [r for r in rows[:n] if r[0] == p]
-            held = any(r[4] == "lock" and (r[6] or never) > seq for r in before)
-            read = any(r[4] == "read" and r[2] > eff for r in before)
-            newer = any(r[4] == "lock" and r[5] and r[2] > eff for r in before)
-            want[seq] = "held" if held else "read" if read else "version" if newer else "ok"
-    df = spark.createDataFrame(rows, "ptr string, txn long, eff long, seq long, op string, committed boolean, released long")
-    assert {r.seq: r.verdict for r in mvcc.conflicts(df).collect()} == want
+    ends = {t: (rng.random() < 0.6, rng.choice([None, *[t * 4 + rng.randrange(4, 30)] * 40])) for t in range(100)}
+    rows = []
+    for seq in range(400):
+        txn = max(0, seq // 4 - rng.randrange(3))
+        rows.append((rng.choice(["a", "b", "c", "d", "e", None]), txn, txn * 10 + txn * 37 % 90, seq, rng.choice(["read", "lock", "lock"]), *ends[txn]))
+    kind = "ptr string, txn long, eff long, seq long, op string, committed boolean, released long"
+    want = replay(rows)
+    assert {r.seq: r.verdict for r in mvcc.replayed(spark.createDataFrame(rows, kind)).collect()} == want
+    assert len(set(want.values())) == 4
+    own = [("a", 1, 10, 1, "lock", True, 5), ("a", 1, 10, 2, "lock", True, 5), ("a", 2, 20, 3, "lock", True, 90), ("a", 3, 30, 10, "lock", True, 40)]
+    assert [r.verdict for r in mvcc.conflicts(spark.createDataFrame(own, kind)).orderBy("seq").collect()] == ["ok", "ok", "held", "ok"]
+
+
+def test_null_keys_are_a_key(spark):
+    rows = [(None, 1, True), ("a", 2, True), (None, 3, True), (None, 4, False), ("a", 5, False), (None, 6, False), (None, 7, False)]
+    df = spark.createDataFrame(rows, "k string, seq long, is_add boolean")
+    for stretch in (2, 100):
+        sums = {r.seq: r.n for r in ordered.running_sums(df, ["k"], "seq", {"n": F.lit(1)}, stretch).collect()}
+        assert sums == {1: 1, 2: 1, 3: 2, 4: 3, 5: 2, 6: 4, 7: 5}
+        before = {r.seq: r.m for r in ordered.running_max_before(df, ["k"], "seq", {"m": F.col("seq")}, stretch).collect()}
+        assert before == {1: None, 2: None, 3: 1, 4: 3, 5: 2, 6: 4, 7: 6}
+        assert {r.seq: r.v for r in ordered.lagged(df, ["k"], "seq", "seq", "v", stretch).collect()} == before
+        states = {r.seq: (r.length, r.ok) for r in ordered.queue_states(df, ["k"], "seq", F.col("is_add"), stretch).collect()}
+        assert states == {1: (1, True), 2: (1, True), 3: (2, True), 4: (1, True), 5: (0, True), 6: (0, True), 7: (0, False)}
+        assert {(r.k, r.take_seq, r.add_seq) for r in ordered.dequeued(df, ["k"], "seq", F.col("is_add"), stretch).collect()} == {(None, 4, 1), ("a", 5, 2), (None, 6, 3)}
+        reads = df.select("k", F.col("seq").alias("t"))
+        found = {r.t: r.version_v for r in ordered.asof_join(reads, df.where("seq < 3").select("k", F.col("seq").alias("t"), F.col("seq").alias("v")), ["k"], "t", ["v"], stretch).collect()}
+        assert found == {1: 1, 2: 2, 3: 1, 4: 1, 5: 2, 6: 1, 7: 1}
+    assert {r.seq: r.position for r in col.in_order(df, ["k"], "seq").collect()} == sums
+    assert {r.add_seq for r in col.queued_at(df, ["k"], "seq", F.col("is_add"), 5).collect()} == {3}
 
 
 def test_empty_tables(spark):
