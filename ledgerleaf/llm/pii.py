@@ -1,10 +1,12 @@
 """Personal data: base patterns, and bootstrapped contextual extraction, with DataFrame functions only.
 
-The base spans are seeds. The two words before a seed are a lexical pattern; a pattern that precedes enough different
-seeds of a kind is a node of a graph whose other nodes are strings that look like identifiers and stand behind such
-patterns. Rounds of scoring alternate: a pattern's confidence is the mean score of its instances (seeds of its kind
-count 1), an instance's score the noisy-or of its patterns' confidences. Instances of high score behind patterns of high
-confidence become spans of that kind.
+The base spans are seeds. The two words before a seed, or what there is of them at a text's beginning, are a lexical
+pattern; a pattern that precedes enough different instances of a kind, seeds or strings discovered before, is a node of a
+graph whose other nodes are strings that look like identifiers and stand behind such patterns. Each round scores this
+graph: a pattern's confidence is the mean score of its instances (seeds of its kind count 1), an instance's score the
+noisy-or of its patterns' confidences. Instances of high score are discovered; in the next round they count as instances
+wherever they stand, and so induce patterns of their own. In the end all occurrences of discovered instances behind
+patterns of high confidence become spans of that kind.
 
 Positions come from the gaps between matches: ``split`` gives the gaps of the same pattern whose matches
 ``regexp_extract_all`` gives. Quantifiers are possessive where nothing could be given back, so that long texts neither
@@ -16,6 +18,8 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +37,13 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: Strings that may be identifiers: 6 to 64 signs with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z._/#@+-]{0,40}[0-9])[A-Za-z0-9][A-Za-z0-9._/#@+-]{4,62}[A-Za-z0-9](?![A-Za-z0-9])"
-#: What stands before a span: its last two words.
-CONTEXT = r"(\S+\s+\S+)\s*$"
+#: Strings that may be identifiers: runs with a digit or an at sign, of six signs or more between their outer marks, and
+#: groups of seven digits or more.
+_SIGN = "[A-Za-z0-9._/#@+-]"
+RUN, LEAST = rf"(?<!{_SIGN})(?=[A-Za-z._/#+-]*+[0-9@]){_SIGN}{{6,}}+", 6
+GROUPS, LEAST_DIGITS = r"(?<![A-Za-z0-9])[(]?[0-9](?:[ ().-]{0,2}+[0-9])++", 7
+#: What stands before a span: its last two words, within so many signs.
+CONTEXT, BEFORE = r"((?:\S+\s+)?\S+)\s*$", 160
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -56,6 +63,19 @@ def _found(text: Column, pattern: str) -> Column:
     return F.when(F.size(matches) > 0, F.aggregate(steps, zero, add)["out"]).otherwise(F.array().cast(kind))
 
 
+def _bare(s: Column) -> Column:
+    """A run without the marks around it."""
+    lead = F.length(s["value"]) - F.length(F.regexp_replace(s["value"], "^[^A-Za-z0-9]+", ""))
+    bare = F.regexp_replace(s["value"], "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
+    start = (s["start"] + lead).cast("long")
+    return F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("value"))
+
+
+def _is_group(s: Column) -> Column:
+    """Whether spaces or brackets part the digits; others are runs."""
+    return s["value"].rlike("[ ()]") & (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= LEAST_DIGITS)
+
+
 def _valid(kind: str, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     if kind == "ip":
@@ -69,8 +89,9 @@ def _valid(kind: str, value: Column) -> Column:
 
 def _with_context(spans: Column, text: Column) -> Column:
     def one(s: Column) -> Column:
-        width = F.least(s["start"], F.lit(80).cast("long")).cast("int")
-        before = F.substring(text, (s["start"] - width).cast("int") + 1, width)
+        width = F.least(s["start"], F.lit(BEFORE).cast("long")).cast("int")
+        # a text's beginning counts as a word
+        before = F.concat(F.when(s["start"] == width, F.lit("^ ")).otherwise(F.lit("")), F.substring(text, (s["start"] - width).cast("int") + 1, width))
         left = F.regexp_replace(F.lower(F.regexp_extract(before, CONTEXT, 1)), "[0-9]+", "#")
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.regexp_replace(left, r"\s+", " ").alias("left"))
 
@@ -92,37 +113,49 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, keep: bool = False) ->
         return F.filter(_found(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
 
     rows = rows.withColumns({k: F.when(needs[k], valid(k)).otherwise(none) for k in KINDS})
-    rows = rows.withColumn("other", _found(text, CANDIDATE))
-    base = F.concat(*KINDS)
-    apart = F.filter("other", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    rows = rows.withColumns({"runs": F.filter(F.transform(_found(text, RUN), _bare), lambda s: F.length(s["value"]) >= LEAST), "groups": F.filter(_found(text, GROUPS), _is_group)})
+
+    def apart_from(spans: Column) -> Callable[[Column], Column]:
+        return lambda s: ~F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+    rows = rows.withColumn("other", F.concat("groups", F.filter("runs", apart_from(F.col("groups")))))
+    apart = F.filter("other", apart_from(F.concat(*KINDS)))
     rows = rows.withColumn("other", apart)
     return rows.select("row", "doc_id", *(["kept"] if keep else []), *[_with_context(F.col(k), text).alias(k) for k in (*KINDS, "other")])
 
 
 def bootstrapped(occurrences: DataFrame, seeds: int, rounds: int, confidence: float) -> DataFrame:
     """Discovered instances: (``left``, ``value``, ``kind``) from ``occurrences`` (``kind``, null for candidates, ``left``, ``value``)."""
-    known = occurrences.where("kind is not null").groupBy("left", "kind").agg(F.countDistinct("value").alias("n_seeds")).where(F.col("n_seeds") >= seeds)
-    known = stored(known, "pii-patterns")
     # a node for each different string behind a pattern; strings repeat, so they are first made one within each task
-    edges = occurrences.where("kind is null").select("left", "value").distinct()
-    edges = stored(salted_join(edges, known.select("left").distinct(), ["left"], F.col("value")), "pii-edges")
-    others = edges.groupBy("left").agg(F.count("*").alias("n_others"))
-    patterns = known.join(others, "left").withColumn("confidence", F.col("n_seeds") / (F.col("n_seeds") + F.col("n_others") + 1))
-    scores = None
+    nodes = stored(occurrences.distinct(), "pii-nodes")
+    candidates = nodes.where("kind is null").select("left", "value")
+    support = nodes.where("kind is not null").groupBy("left", "kind").agg(F.count("*").alias("n_seeds"))
+    found = edges = patterns = None
     for _ in range(rounds):
+        counted = support.withColumn("n_found", F.lit(0).cast("long"))
+        if found is not None:
+            # what was discovered counts wherever it stands
+            led = salted_join(candidates, found, ["value"], F.col("left")).groupBy("left", "kind").agg(F.count("*").alias("n"))
+            counted = support.join(led, ["left", "kind"], "full")
+            counted = counted.select("left", "kind", *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for c, n in (("n_seeds", "n_seeds"), ("n", "n_found"))])
+        known = stored(counted.where(F.col("n_seeds") + F.col("n_found") >= seeds), "pii-patterns")
+        edges = stored(salted_join(candidates, known.select("left").distinct(), ["left"], F.col("value")), "pii-edges")
+        others = edges.groupBy("left").agg(F.count("*").alias("n_others"))
+        before = (F.col("n_seeds") + F.col("n_found")) / (F.col("n_seeds") + F.col("n_others") + 1)
+        patterns = known.join(others, "left").withColumn("confidence", before)
         by_pattern = patterns.groupBy("left").agg(F.collect_list(F.struct("kind", "confidence")).alias("kinds"))
         by_kind = salted_join(edges, by_pattern, ["left"], F.col("value")).select("left", "value", F.inline("kinds"))
         # 1 - product of (1 - confidence), by logarithms
         scores = by_kind.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence") * 0.999999)))).alias("score"))
-        mean = by_kind.join(scores, ["value", "kind"]).groupBy("left", "kind").agg(F.sum("score").alias("sum_scores"))
-        patterns = known.join(others, "left").join(mean, ["left", "kind"]).withColumn(
-            "confidence", (F.col("n_seeds") + F.col("sum_scores")) / (F.col("n_seeds") + F.col("n_others") + 1)
-        )
-        patterns = stored(patterns, "pii-confidence")
         scores = stored(scores, "pii-scores")
-    best = scores.where(F.col("score") >= confidence).groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        mean = salted_join(by_kind, scores, ["value", "kind"], F.col("left")).groupBy("left", "kind").agg(F.sum("score").alias("sum_scores"))
+        after = (F.col("n_seeds") + F.col("sum_scores")) / (F.col("n_seeds") + F.col("n_others") + 1)
+        patterns = stored(known.join(others, "left").join(mean, ["left", "kind"]).withColumn("confidence", after), "pii-confidence")
+        # a string is of one kind, the one of its highest score
+        best = scores.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best")).where(F.col("best.score") >= confidence)
+        found = stored(best.select("value", F.col("best.kind").alias("kind")), "pii-found")
     trusted = patterns.where(F.col("confidence") >= confidence).select("left", "kind")
-    return salted_join(edges, trusted, ["left"], F.col("value")).join(best, ["value", "kind"])
+    return salted_join(salted_join(edges, trusted, ["left"], F.col("value")), found, ["value", "kind"], F.col("left"))
 
 
 def find(
