@@ -34,13 +34,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .fingerprints import NO_ID, edited, fingerprint, likeness
+    from .fingerprints import NO_ID, differing_lines, edited, fingerprint, likeness
 
     rows = edited(table(spark, sf_dir, "documents"))
     return rows.select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
         fingerprint().alias("fingerprint"), fingerprint("edited_").alias("edited_fingerprint"),
         likeness("", "edited_").alias("near_edited"), likeness("", "next_").alias("near_next"),
+        F.array_min(differing_lines("edited_", "")).cast("long").alias("first_edited_line"),
     )
 
 
@@ -80,7 +81,7 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score
 
     held_out = _remainder("doc_id", 10) == 0
-    scored = score(table(spark, sf_dir, "documents"), held_out, word_orders=3)
+    scored = score(table(spark, sf_dir, "documents"), held_out, word_orders=2)
     return scored.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -104,7 +105,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import linked_components
 
-    return linked_components(table(spark, sf_dir, "documents"), width=3, num=90)
+    return linked_components(table(spark, sf_dir, "documents"), width=3, num=90).drop("first")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
