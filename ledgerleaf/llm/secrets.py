@@ -26,7 +26,8 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Candidates are whole runs of these signs, of ``SHORTEST`` or more.
+RUN, SHORTEST = re.compile(r"[A-Za-z0-9+/_=-]+"), 12
 SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api.?key|private.?key|access.?key|credential|bearer|auth|signature|salt|\bpwd\b|\bpin\b|\bkey\b", re.ASCII | re.IGNORECASE)
 #: What code and configuration files say anyway: the dictionary that primes the compressor.
 IDENTIFIERS = """
@@ -83,14 +84,13 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty, b
     """Candidates behind a sensitive word, away from base spans, whose marginal size reaches ``ratio``."""
     out, seen = [], 0
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(seen, word.end()), min(len(text), word.end() + before + 512)):
-            a, b = m.span()
-            if a > word.end() + before:
-                break
-            if a and CANDIDATE.match(text[a - 1] * 12):
-                continue  # the tail of a longer string
-            while b < len(text) and b == word.end() + before + 512 and CANDIDATE.match(text[b] * 12):
-                b += 1
+        at, last = max(seen, word.end()), word.end() + before
+        # a run starts at ``last`` or before, and ends where it ends
+        while at <= last and (found := RUN.search(text, at, last + 1)):
+            a, b = found.start(), RUN.match(text, found.start()).end()
+            at = b
+            if b - a < SHORTEST or a and RUN.match(text, a - 1):
+                continue  # too short, or the tail of a longer string
             seen = b
             token = text[a:b]
             if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
