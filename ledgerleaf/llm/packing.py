@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, whole_text
+from .common import ship, text_bytes
 from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -66,13 +66,11 @@ def pack(
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row for each piece: its document, place there, ids (little-endian unsigned 32-bit), window and offset."""
-    end = np.array([end_id], dtype=np.uint16).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         serial = TaskContext.get().partitionId() << 40
-        encode = encoder(vocabulary).encode
         full, rests, held = [], [], 0
 
         def rows(out: list[tuple]) -> pa.RecordBatch:
@@ -95,27 +93,28 @@ def pack(
                 yield rows(out)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(encode(text) + end, dtype=np.uint16).astype("<u4")
-                n = len(ids)
-                edge = n - n % capacity
-                for at in range(0, edge, capacity):
-                    full.append((doc, at, capacity, ids[at : at + capacity].tobytes(), n, serial, 0))
-                    serial += 1
-                    if len(full) >= 512:
-                        yield rows(full)
-                        full.clear()
-                cuts = max(1, -(-(n - edge) // piece))
-                edges = [edge + (n - edge) * i // cuts for i in range(cuts + 1)]
-                for a, b in zip(edges, edges[1:]):
-                    if b > a:
-                        rests.append((doc, a, b - a, ids[a:b].tobytes(), n))
-                        held += b - a
-                if held >= cell * capacity:
-                    yield from close()
+            for a, b, every, borders in encoder(vocabulary).runs(batch.column(1)):
+                for doc, begin, to in zip(batch.column(0).slice(a, b - a).to_pylist(), borders.tolist(), borders[1:].tolist()):
+                    ids = np.append(every[begin:to], np.uint16(end_id)).astype("<u4")
+                    n = len(ids)
+                    edge = n - n % capacity
+                    for at in range(0, edge, capacity):
+                        full.append((doc, at, capacity, ids[at : at + capacity].tobytes(), n, serial, 0))
+                        serial += 1
+                        if len(full) >= 512:
+                            yield rows(full)
+                            full.clear()
+                    cuts = max(1, -(-(n - edge) // piece))
+                    edges = [edge + (n - edge) * i // cuts for i in range(cuts + 1)]
+                    for p, q in zip(edges, edges[1:]):
+                        if q > p:
+                            rests.append((doc, p, q - p, ids[p:q].tobytes(), n))
+                            held += q - p
+                    if held >= cell * capacity:
+                        yield from close()
         if full:
             yield rows(full)
         yield from close()
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(run, SCHEMA)
