@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, whole_text
+from .common import partitions, ship, text_bytes
 from .tokens import encoder
 
 MAGIC = b"LLA1"
@@ -33,7 +33,9 @@ LANES, STRIDE = 1024, 256
 #: Ids of a block, and those after which a segment is closed behind a document.
 BLOCK, SEGMENT = 1 << 20, 1 << 21
 FILE_SCHEMA = "part int, seg int, n_ids long, n_docs long, payload binary"
-READ_SCHEMA = "doc_id long, part int, seg int, start_in_segment long, n_tokens long, ids binary"
+READ_SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
+#: Segments whose starts are sent to all workers (some 10 MB); beyond that payloads are joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
 U64 = np.uint64
 
 
@@ -126,10 +128,10 @@ def decode_block(raw: memoryview, table: Table, slots: np.ndarray) -> tuple[np.n
     return ids, base + 4 * n_words
 
 
-def encode_segment(docs: list[int | None], pieces: list[bytes]) -> bytes:
-    ids = np.frombuffer(b"".join(pieces), dtype=np.uint16)
+def encode_segment(docs: list[int | None], pieces: list[np.ndarray]) -> bytes:
+    ids = np.concatenate(pieces)
     table = Table.of(ids)
-    batch = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(p) // 2 for p in pieces], pa.int64())], ["doc_id", "length"])
+    batch = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(p) for p in pieces], pa.int64())], ["doc_id", "length"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
         w.write_batch(batch)
@@ -159,12 +161,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     Defined cases: a null or empty text is its end id alone; a null id comes first; rows of one id are each written, in
     a fixed order; an empty table leaves a folder without segments; other columns are ignored.
     """
-    end = np.array([end_id], dtype=np.uint16).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seg, encode = TaskContext.get().partitionId(), 0, encoder(vocabulary).encode
+        part, seg = TaskContext.get().partitionId(), 0
         ids, pieces, held = [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -172,18 +173,19 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "seg", "n_ids", "n_docs", "payload"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(doc)
-                pieces.append(encode(text) + end)
-                held += len(pieces[-1]) // 2
-                if held >= SEGMENT:
-                    yield close()
-                    ids, pieces, held, seg = [], [], 0, seg + 1
+            for a, b, every, borders in encoder(vocabulary).runs(batch.column(1)):
+                for doc, begin, to in zip(batch.column(0).slice(a, b - a).to_pylist(), borders.tolist(), borders[1:].tolist()):
+                    ids.append(doc)
+                    pieces.append(np.append(every[begin:to], np.uint16(end_id)))
+                    held += len(pieces[-1])
+                    if held >= SEGMENT:
+                        yield close()
+                        ids, pieces, held, seg = [], [], 0, seg + 1
         if ids:
             yield close()
 
     spark = ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(partitions(spark), "doc_id", tie).sortWithinPartitions("doc_id", tie)
     # payloads are coded already
@@ -196,20 +198,23 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seg, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for before, payload in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 docs, lengths, ids = decode_segment(payload)
                 ends = np.cumsum(lengths)
                 for a in range(0, len(docs), 2048):
                     b = min(len(docs), a + 2048)
                     starts = (ends[a:b] - lengths[a:b]).tolist()
                     raw = [ids[s : s + n].tobytes() for s, n in zip(starts, lengths[a:b])]
-                    columns = [docs[a:b], [part] * (b - a), [seg] * (b - a), starts, lengths[a:b], raw]
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                    columns = [docs[a:b], [before + s for s in starts], lengths[a:b], raw]
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in READ_SCHEMA.split(", ")])
 
-    rows = files.select("part", "seg", "payload").mapInArrow(run, READ_SCHEMA)
-    # a row for each segment, of two million ids or more: a few numbers next to its payload
-    before = Window.orderBy("part", "seg").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "seg", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("segment_start"))
-    joined = rows.join(starts, ["part", "seg"])
-    return joined.select("doc_id", (F.col("segment_start") + F.col("start_in_segment")).alias("start"), "n_tokens", "ids")
+    # what comes before a segment: the parts before its own, of which there are as many as the writer had tasks, and the
+    # part's segments before it
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier(Window.orderBy("part"))), F.lit(0)).alias("before_part"))
+    inside = F.coalesce(F.sum("n_ids").over(earlier(Window.partitionBy("part").orderBy("seg"))), F.lit(0))
+    starts = files.select("part", "seg", inside.alias("before")).join(parts, "part").select("part", "seg", (F.col("before_part") + F.col("before")).alias("before"))
+    starts = F.broadcast(starts) if files.count() <= BROADCAST_ROWS else starts
+    return files.select("part", "seg", "payload").join(starts, ["part", "seg"]).select("before", "payload").mapInArrow(run, READ_SCHEMA)

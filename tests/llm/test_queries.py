@@ -67,10 +67,28 @@ def reference_ids(texts, name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return {d: np.array([*t.encode(x, add_special_tokens=False).ids, end], dtype="<u4") for d, x in texts.items()}
 
 
+def test_encoder_on_odd_texts():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from ledgerleaf.llm.tokens import TextEncoder
+
+    rng = random.Random(5)
+    signs = [*"aAbzZ  \n\n\t\r'.,!?-_<|>019éÉÿ÷×ñ½“”…\u00a0\u3000\x0b\x1c\x85日本🙂\u0301ßſ≠", "'s", "'ll", " The", "<|endoftext|>", "<|startoftext|>", ". ", "\r\n", " \n"]
+    odd = ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(8000)]
+    odd.append("".join(rng.choices(["abc ", "Def, ", "\n", "x.y ", "é! ", "12 ", " \n "], k=1_000_000)))
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        plain, found = Tokenizer.from_file(vocabulary(name)), []
+        for _, _, ids, edges in TextEncoder(vocabulary(name)).runs(pa.array([t.encode() for t in odd], pa.binary())):
+            found += [ids[a:b] for a, b in zip(edges, edges[1:])]
+        assert len(found) == len(odd) and all(np.array_equal(f, plain.encode(t, add_special_tokens=False).ids) for f, t in zip(found, odd))
+
+
 def test_op2(spark, hard_dir, texts):
     want, sequences = reference_ids(texts, "word_bpe_49k.json", 1), {}
     seen = {d: np.zeros(len(w), dtype=int) for d, w in want.items()}
@@ -201,7 +219,7 @@ def test_op8_segments_and_checkpoints():
     rng = np.random.default_rng(3)
     for n in (1, 63, 64, 5000, 1_300_000):
         ids = np.minimum(rng.zipf(1.3, n), 50_256).astype(np.uint16)
-        docs, lengths, back = t.decode_segment(t.encode_segment([7, None], [ids[: n // 2].tobytes(), ids[n // 2 :].tobytes()]))
+        docs, lengths, back = t.decode_segment(t.encode_segment([7, None], [ids[: n // 2], ids[n // 2 :]]))
         assert docs == [7, None] and lengths == [n // 2, n - n // 2] and (back == ids).all()
     table = t.Table.of(ids)
     block = bytearray(t.encode_block(ids[: t.BLOCK], table))
@@ -432,3 +450,62 @@ def test_op10_a_cut_tears_one_group_of_equal_texts(spark):
     # equal texts stand side by side
     runs = {(r.shard, r.text): (r.a, r.b, r.n) for r in rows.groupBy("shard", "text").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).collect()}
     assert all(b - a + 1 == n for a, b, n in runs.values())
+
+
+def test_op3_borders_follow_the_content(spark):
+    import random
+
+    from ledgerleaf.llm.fingerprints import differing, differing_lines, fingerprints, likeness
+
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(900)]
+    line = " ".join(rng.choices(words, k=400))
+    lines = "\n".join(" ".join(rng.choices(words, k=9)) for _ in range(300)).split("\n")
+    edit = [*lines[:100], "a new line of words", *lines[100:200], lines[200] + " changed", *lines[201:]]
+    texts = [line, "x " + line, "\n".join(lines), "\n".join(edit), " ".join(rng.choices(words, k=400)), "word " * 3000, "other " * 3000, "word " * 2999]
+    trees = fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    both = trees.select(*[F.col(c).alias(f"a_{c}") for c in trees.columns]).crossJoin(trees.select(*[F.col(c).alias(f"b_{c}") for c in trees.columns]))
+    rows = both.select("a_doc_id", "b_doc_id", likeness("a_", "b_").alias("near"), differing_lines("a_", "b_").alias("lines"), F.size(differing("a_", "b_")).alias("sections"), F.size("a_sections").alias("of")).collect()
+    got = {(r.a_doc_id, r.b_doc_id): r for r in rows}
+    assert got[0, 1].near > 0.9 and got[2, 3].near > 0.98 and got[0, 4].near < 0.05 and got[5, 6].near == 0
+    assert got[3, 2].lines == [100, 201] and got[2, 3].lines == [200] and 0 < got[3, 2].sections < 0.1 * got[3, 2].of
+    assert all((r.near == 1) == (a == b) and r.near == got[b, a].near for (a, b), r in got.items())
+
+
+def test_op4_takes_whole_candidates():
+    import random
+    import string
+
+    from ledgerleaf.llm.secrets import Novelty, base_spans, novel_spans
+
+    rng = random.Random(1)
+    for n in (24, 700, 1500, 40_000):
+        for lead in ("the private key below ", "my token ", "secrettoken "):
+            candidate = "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+            text = "Here is " + lead + candidate + " and more words"
+            at = text.index(candidate)
+            assert novel_spans(text, base_spans(text), Novelty(), 48, 0.6) == [("novel", at, at + n)], (n, lead)
+    # the tail of a run that a sensitive word belongs to is none
+    text = "seetoken" + "".join(rng.choices(string.ascii_letters + string.digits, k=40))
+    assert novel_spans(text, [], Novelty(), 48, 0.6) == []
+
+
+def test_op1_kinds_of_candidates_and_patterns_of_discovered_strings(spark):
+    from ledgerleaf.llm.pii import find
+
+    docs = [(i, f"Please call the office phone: +49 170 12345{i:02d} now") for i in range(8)]
+    docs += [(20 + i, f"Phone: +1 234 567 89{i:02d}, thanks") for i in range(8)]
+    docs += [(40 + i, f"write your mail to: user{i}@example.org today") for i in range(8)]
+    long = "x7." * 30 + "end9"
+    docs += [(100, "Please call the office phone: 030 1234 567 now"), (101, "Phone: (555) 123 4567, thanks"), (102, "write your mail to: admin@localhost today"), (103, f"write your mail to: {long} today")]
+    # found behind a seeds' pattern, these strings make a pattern of their own, behind which one more is found
+    docs += [(200 + i, f"write your mail to: name{i}.example today") for i in range(4)]
+    docs += [(300 + i, f"cc goes with {'name' + str(i) if i < 4 else 'other7'}.example too") for i in range(5)]
+    docs += [(400, "plain build v1.2.33-abc here"), (401, "")]
+    got = {r.doc_id: r for r in find(spark.createDataFrame(docs, "doc_id long, text string"), confidence=0.5).collect()}
+    text = dict(docs)
+    found = lambda d, k: [text[d][s.start : s.end] for s in got[d][f"{k}_all"]]
+    assert found(100, "phone") == ["030 1234 567"] and found(101, "phone") == ["(555) 123 4567"]
+    assert found(102, "email") == ["admin@localhost"] and found(103, "email") == [long]
+    assert found(304, "email") == ["other7.example"]
+    assert not any(got[d][f"{k}_all"] for d in (400, 401) for k in ("email", "ip", "card", "phone"))
