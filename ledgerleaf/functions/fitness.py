@@ -1,10 +1,14 @@
 """Fitness of a threshold from label counts at or below it (``le``), above it (``gt``) and where the value is missing (``ex``).
 
-Each function takes arrays of counts as Columns. ``le`` holds a zero for labels not seen yet; these don't count as
-labels of that side, while zeros of ``gt`` do. Null stands for minus infinity: the rule is no candidate.
+Each function takes the three sides and is plain arithmetic over their columns. Labels that a side lacks have a zero
+there. Of ``le`` and ``ex`` a zero doesn't count as a label of that side; of ``gt`` it does if ``le`` has the label. Null
+stands for minus infinity: the rule is no candidate.
 """
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,54 +16,66 @@ from pyspark.sql import functions as F
 LEAST_SIDE = 0.15
 
 
-def total(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0.0), lambda a, c: a + c)
+@dataclass(frozen=True)
+class Side:
+    """Counts by label, their sum, and the number of labels."""
 
+    counts: list[Column]
+    total: Column
+    labels: Column
 
-def _entropy_part(counts: Column, smoothing: float) -> Column:
-    k, n = F.size(counts), total(counts)
-    return F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log((c + smoothing) / (n + smoothing * k)))
 
+Fitness = Callable[[Side, Side, Side], Column]
 
-def labeling_entropy(le: Column, gt: Column, ex: Column, smoothing: float = 1.0) -> Column:
-    seen = F.filter(le, lambda c: c > 0)
-    full = total(le) + total(gt) + total(ex)
-    fit = (_entropy_part(seen, smoothing) + _entropy_part(gt, smoothing) + _entropy_part(ex, smoothing)) / (full * math.log(2))
-    return F.when((total(le) > LEAST_SIDE * full) & (total(gt) > LEAST_SIDE * full), fit)
 
+def total(counts: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, counts, F.lit(0.0))
 
-def accuracy(le: Column, gt: Column, ex: Column) -> Column:
-    both = total(le) + total(gt)
-    minority = sum((total(c) - F.coalesce(F.array_max(c).cast("double"), F.lit(0.0)) for c in (le, gt, ex)), F.lit(0.0))
-    return F.when((total(le) > LEAST_SIDE * both) & (total(gt) > LEAST_SIDE * both), 1 - minority / (both + total(ex)))
 
+def number(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [c.cast("int") for c in conditions], F.lit(0))
 
-def _mixed_part(side: Column, n_side: Column, n: Column, labels: Column, s: Column, weights: tuple[float, float, float]) -> Column:
-    def term(a: Column, e: Column) -> Column:
-        x = e["n"] / n
-        y = F.element_at(labels, e["label"]) * n_side / (n * n)
-        return a + weights[0] * x * F.log(s + x) + weights[1] * x * F.log(s + y) + weights[2] * y * F.log(s + x)
 
-    return F.aggregate(side, F.lit(0.0), term)
+def labeling_entropy(smoothing: float = 1.0) -> Fitness:
+    def part(side: Side) -> Column:
+        # sum of c * ln((c + s) / whole), the logarithm of the whole taken once
+        own = total([F.when(c > 0, c * F.log(c + smoothing)).otherwise(0.0) for c in side.counts])
+        return own - F.when(side.total > 0, side.total * F.log(side.total + smoothing * side.labels)).otherwise(0.0)
 
+    def fitness(le: Side, gt: Side, ex: Side) -> Column:
+        full = le.total + gt.total + ex.total
+        enough = (le.total > LEAST_SIDE * full) & (gt.total > LEAST_SIDE * full)
+        return F.when(enough, (part(le) + part(gt) + part(ex)) / (full * math.log(2)))
 
-def measurement_entropy(
-    le: Column, gt: Column, ex: Column, labels: Column, smoothing: float = 1.0, weights: tuple[float, float, float] = (-0.1, 1.0, -1.0)
-) -> Column:
-    """The linear mix ``w0 * self + w1 * ce1 + w2 * ce2`` over structs (``label``, ``n``) of each side, in which every
-    label is listed; ``labels`` maps them to their counts over all sides.
+    return fitness
+
+
+def accuracy(le: Side, gt: Side, ex: Side) -> Column:
+    both = le.total + gt.total
+    hits = total([F.greatest(F.lit(0.0), F.lit(0.0), *side.counts) for side in (le, gt, ex)])
+    enough = (le.total > LEAST_SIDE * both) & (gt.total > LEAST_SIDE * both)
+    return F.when(enough, 1 - (both + ex.total - hits) / (both + ex.total))
+
+
+def linear_entropy(smoothing: float = 1.0, weights: tuple[float, float, float] = (-0.1, 1.0, -1.0)) -> Fitness:
+    """The linear mix ``w0 * self + w1 * ce1 + w2 * ce2`` over all labels of all sides.
 
     For a label's share x within all rows and the product y of its and the side's shares: ce1 sums x ln(s + y), ce2
     y ln(s + x) and self x ln(s + x), with s the smoothing over all rows.
     """
     if not any(weights):
         raise ValueError("all weights are zero")
-    sides = [F.transform(side, lambda s: s["n"].cast("double")) for side in (le, gt, ex)]
-    n = total(sides[0]) + total(sides[1]) + total(sides[2])
-    s = F.lit(float(smoothing)) / n
-    out = F.lit(0.0)
-    for side, counts in zip((le, gt, ex), sides):
-        n_side = total(counts)
-
-        out = out + _mixed_part(side, total(counts), n, labels, s, weights)
-    return F.when((total(sides[0]) > 0) & (total(sides[1]) > 0), out)
+
+    def fitness(le: Side, gt: Side, ex: Side) -> Column:
+        labels = [a + b + c for a, b, c in zip(le.counts, gt.counts, ex.counts)]
+        n = le.total + gt.total + ex.total
+        s, out = smoothing / n, F.lit(0.0)
+        for side in (le, gt, ex):
+            for count, label in zip(side.counts, labels):
+                x, y = count / n, label * side.total / (n * n)
+                term = weights[0] * x * F.log(s + x) + weights[1] * x * F.log(s + y) + weights[2] * y * F.log(s + x)
+                # a label that the field lacks adds nothing
+                out = out + F.when(label > 0, term).otherwise(0.0)
+        return F.when((le.total > 0) & (gt.total > 0), out)
+
+    return fitness

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 #: Positions of a stretch, where a caller names none.
 STRETCH = 1 << 16
 
@@ -115,10 +117,11 @@ def asof_join(reads: DataFrame, versions: DataFrame, keys: list[str], time: str,
 
 def global_rank(df: DataFrame, order: list[str | Column], name: str = "rank") -> DataFrame:
     """Places from 1 in a total order: a range-partitioned sort, numbered within partitions; counts of the partitions
-    before, a row for each, are added."""
+    before, a row for each, are added. The ranged rows are written: their borders come from a sample, which another run
+    of the same exchange need not repeat."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    counts = sorted_.groupBy("_part").count()
+    ranged = written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").count()
     before = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return sorted_.withColumn("_inner", inner).join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_inner")).cast("long").alias(name))
+    return ranged.withColumn("_inner", inner).join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_inner")).cast("long").alias(name))

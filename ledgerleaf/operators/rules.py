@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fitness as fit
+from ..functions.fitness import Fitness, Side, number
 
 #: Labels are classes of a classifier, not data: more of them are an error.
 MOST_LABELS = 1000
-Fitness = Callable[[Column, Column, Column], Column]
+#: Parts of each factor of two in which a field's values make one range, where no borders are given.
+PARTS = 4
 
 
 def labels_of(items: DataFrame, label: str) -> list[str]:
@@ -27,88 +26,104 @@ def unpivoted(items: DataFrame, keys: list[str], label: str, features: list[str]
     return items.select(*keys, F.col(label).cast("string").alias("y"), F.inline(pairs))
 
 
-def candidates(items: DataFrame, label: str, features: list[str], keys: list[str] = (), labels: list[str] | None = None) -> DataFrame:
-    """(keys, ``field``, ``threshold``, ``le``, ``gt``, ``ex``): counts on each side of every distinct value of a field.
+def borders_of(items: DataFrame, features: list[str], ranges: int = 64) -> dict[str, list[float]]:
+    """For each field approximate quantiles: borders of ranges with about as many rows each, whatever its values are."""
+    numbers = items.select(*[F.col(f).cast("double").alias(f) for f in features])
+    found = numbers.stat.approxQuantile(features, [i / ranges for i in range(1, ranges)], 0.25 / ranges)
+    return {f: sorted(set(q)) for f, q in zip(features, found)}
+
+
+def _range_of(features: list[str], borders: dict[str, list[float]] | None) -> Column:
+    """A whole number that is monotonous in ``v`` within a field; null where it is missing or NaN."""
+    v = F.col("v")
+    if borders is None:
+        # ranges of equal ratio; zero lies between those of negative and of positive numbers
+        step = F.floor(F.log2(F.abs(v)) * PARTS) + 1100 * PARTS
+        out = F.when(v == 0, 0).when(v > 0, step).otherwise(-step)
+    else:
+        out = F.lit(None)
+        for f in features:
+            below = F.array_position(F.array_sort(F.array_append(F.array(*[F.lit(float(b)) for b in borders[f]]).cast("array<double>"), v)), v)
+            out = F.when(F.col("field") == f, below).otherwise(out)
+    return F.when(v.isNotNull() & ~F.isnan(v), out).cast("long")
+
+
+def columns(labels: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """Names of a candidate's counts by label: at or below the threshold, above it, and of rows without a value."""
+    return tuple([f"{side}_{i}" for i in range(len(labels))] for side in ("le", "gt", "ex"))
+
 
-    Each side is an array of (``label``, ``n``). ``le`` and ``gt`` list the labels that the field's numbers have, ``ex``
-    those of rows without one; fields of fewer than two labels have no candidates. NaN is above no threshold and is none.
+def candidates(
+    items: DataFrame, label: str, features: list[str], keys: list[str] = (), labels: list[str] | None = None, borders: dict[str, list[float]] | None = None
+) -> DataFrame:
+    """(keys, ``field``, ``threshold``, counts): counts by label on each side of every distinct value of a field, in the
+    columns that ``columns`` names. Fields of fewer than two labels have no candidates. NaN is above no threshold and is none.
 
     Items are counted by value first; running sums see a row for each distinct value. Values of a field are cut into
     ranges, summed within them and carried over, so that a few features of very many values still make many tasks.
     """
     keys, labels = list(keys), labels_of(items, label) if labels is None else labels
-    cs = [f"c{i}" for i in range(len(labels))]
+    cs, (le, gt, ex) = [f"c{i}" for i in range(len(labels))], columns(labels)
     of_field = [*keys, "field"]
     counted = unpivoted(items, keys, label, features).groupBy(*of_field, "v").agg(*[F.count_if(F.col("y") == y).alias(c) for c, y in zip(cs, labels)])
-    is_real = F.col("v").isNotNull() & ~F.isnan("v")
-    # monotonous in the value; null for missing ones and NaN
-    span = F.when(is_real, F.floor(F.signum("v") * F.log2(F.abs("v") + 1) * 16))
-    cut = counted.withColumns({"_range": span, "_missing": F.col("v").isNull()})
+    cut = counted.withColumns({"_range": _range_of(features, borders), "_missing": F.col("v").isNull()})
     by_range = cut.groupBy(*of_field, "_range", "_missing").agg(*[F.sum(c).alias(c) for c in cs])
     every = Window.partitionBy(*of_field)
-    before = every.orderBy(F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    real, nan = F.col("_range").isNotNull(), F.col("_range").isNull() & ~F.col("_missing")
+    # NaN, whose range is null too, is below all others
+    before = every.orderBy(F.col("_missing").desc(), F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     sums = {}
-    for c in cs:
-        sums[f"_nan_{c}"] = F.coalesce(F.sum(F.when(nan, F.col(c))).over(every), F.lit(0))
-        sums[f"_ex_{c}"] = F.coalesce(F.sum(F.when(F.col("_missing"), F.col(c))).over(every), F.lit(0))
+    for c, e in zip(cs, ex):
+        sums[e] = F.coalesce(F.sum(F.when(F.col("_missing"), F.col(c))).over(every), F.lit(0))
         sums[f"_n_{c}"] = F.coalesce(F.sum(F.when(~F.col("_missing"), F.col(c))).over(every), F.lit(0))
-        sums[f"_b_{c}"] = F.coalesce(F.sum(F.when(real, F.col(c))).over(before), F.lit(0))
-    carried = by_range.withColumns(sums).where(real).select(*of_field, "_range", *sums)
+        sums[f"_b_{c}"] = F.coalesce(F.sum(F.when(~F.col("_missing"), F.col(c))).over(before), F.lit(0))
+    carried = by_range.withColumns(sums).where("_range is not null").select(*of_field, "_range", *sums)
     upto = Window.partitionBy(*of_field, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     inside = cut.where("_range is not null").withColumns({f"_r_{c}": F.sum(c).over(upto) for c in cs})
-    rows = inside.join(carried, [*of_field, "_range"])
+    same = [inside[k].eqNullSafe(carried[k]) for k in keys] + [inside["field"] == carried["field"], inside["_range"] == carried["_range"]]
+    rows = inside.join(carried, same).select(*[inside[k] for k in of_field], "v", *[f"_r_{c}" for c in cs], *sums)
+    below = [F.col(f"_r_{c}") + F.col(f"_b_{c}") for c in cs]
+    sides = [n.alias(a) for n, a in zip(below, le)] + [(F.col(f"_n_{c}") - n).alias(a) for c, n, a in zip(cs, below, gt)]
+    several = sum(((F.col(f"_n_{c}") > 0).cast("int") for c in cs), F.lit(0)) > 1
+    return rows.where(several).select(*of_field, F.col("v").alias("threshold"), *sides, *ex)
 
-    def side(n: Callable[[str], Column], listed: Callable[[str], Column]) -> Column:
-        return F.array_compact(F.array(*[F.when(listed(c), F.struct(F.lit(y).alias("label"), n(c).cast("long").alias("n"))) for c, y in zip(cs, labels)]))
 
-    below = lambda c: F.col(f"_r_{c}") + F.col(f"_b_{c}") + F.col(f"_nan_{c}")
-    has = lambda c: F.col(f"_n_{c}") > 0
-    sides = [
-        side(below, has).alias("le"),
-        side(lambda c: F.col(f"_n_{c}") - below(c), has).alias("gt"),
-        side(lambda c: F.col(f"_ex_{c}"), lambda c: F.col(f"_ex_{c}") > 0).alias("ex"),
-    ]
-    return rows.select(*of_field, F.col("v").alias("threshold"), *sides).where(F.size("le") > 1)
+SIDES = ("le", "gt", "ex")
 
 
-def counts(side: str) -> Column:
-    return F.transform(side, lambda s: s["n"].cast("double"))
+def _columns_of(found: DataFrame, name: str) -> list[str]:
+    return [c for c in found.columns if c.startswith(f"{name}_") and c[3:].isdigit()]
 
 
-def labeling_entropy(smoothing: float = 1.0) -> Fitness:
-    return lambda le, gt, ex: fit.labeling_entropy(le, gt, ex, smoothing)
+def side(found: DataFrame, name: str) -> Column:
+    """The number of items on one side."""
+    return sum((F.col(c) for c in _columns_of(found, name)), F.lit(0).cast("long"))
 
 
-def scored(found: DataFrame, fitness: Fitness) -> DataFrame:
-    """Candidates with ``fitness``, NaN and null ones left out; a strategy is any function of the three count arrays."""
-    return found.withColumn("fitness", fitness(counts("le"), counts("gt"), counts("ex"))).where(F.col("fitness").isNotNull() & ~F.isnan("fitness"))
-
-
-def linear_entropy(found: DataFrame, smoothing: float = 1.0, weights: tuple[float, float, float] = (-0.1, 1.0, -1.0)) -> DataFrame:
-    """Candidates with the mix of self and cross entropies as ``fitness``; it needs the labels, not just their counts."""
-    pairs = F.concat("le", "gt", "ex")
-    names = F.array_distinct(F.transform(pairs, lambda s: s["label"]))
+def with_fitness(found: DataFrame, fitness: Fitness) -> DataFrame:
+    """Candidates with ``n_le``, ``n_gt``, ``n_ex`` and ``fitness``; a strategy is any function of the three sides.
 
-    def n_of(rows: Column, y: Column) -> Column:
-        return F.aggregate(rows, F.lit(0.0), lambda a, s: a + F.when(s["label"] == y, s["n"].cast("double")).otherwise(0.0))
+    Sums come first, as columns of their own, so that the strategy's expression stays small however many labels there are.
+    """
+    counts = {s: [F.col(c) for c in _columns_of(found, s)] for s in SIDES}
+    listed = {"le": [c > 0 for c in counts["le"]], "gt": [a + b > 0 for a, b in zip(counts["le"], counts["gt"])], "ex": [c > 0 for c in counts["ex"]]}
+    summed = found.withColumns({f"n_{s}": side(found, s) for s in SIDES} | {f"_k_{s}": number(listed[s]) for s in SIDES})
+    sides = [Side([c.cast("double") for c in counts[s]], F.col(f"n_{s}").cast("double"), F.col(f"_k_{s}")) for s in SIDES]
+    value = fitness(*sides)
+    return summed.withColumn("fitness", F.nanvl(value, F.lit(None).cast("double"))).drop(*[f"_k_{s}" for s in SIDES])
 
-    def full(side: str) -> Column:
-        """The side with all labels, those that it lacks too."""
-        return F.transform("_names", lambda y: F.struct(y.alias("label"), n_of(F.col(side), y).alias("n")))
 
-    named = found.withColumn("_names", names)
-    named = named.withColumns({"_labels": F.map_from_arrays("_names", F.transform("_names", lambda y: n_of(pairs, y)))} | {f"_{k}": full(k) for k in ("le", "gt", "ex")})
-    value = fit.measurement_entropy(F.col("_le"), F.col("_gt"), F.col("_ex"), F.col("_labels"), smoothing, weights)
-    return named.withColumn("fitness", value).select(*found.columns, "fitness").where(F.col("fitness").isNotNull() & ~F.isnan("fitness"))
+def scored(found: DataFrame, fitness: Fitness) -> DataFrame:
+    """Candidates with their fitness, those without one left out."""
+    return with_fitness(found, fitness).where("fitness is not null")
 
 
-def best(found: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """The fittest rule (to 9 digits; ties by field, then threshold) for each combination of the keys."""
-    rank = F.struct((-F.round("fitness", 9)).alias("o"), "field", "threshold", "fitness", F.aggregate(counts("le"), F.lit(0.0), lambda a, c: a + c).alias("n_le"), F.aggregate(counts("gt"), F.lit(0.0), lambda a, c: a + c).alias("n_gt"))
-    return found.groupBy(*keys).agg(F.min(rank).alias("r")).select(
-        *keys, "r.field", "r.threshold", "r.fitness", F.col("r.n_le").cast("long").alias("n_le"), F.col("r.n_gt").cast("long").alias("n_gt")
-    ).where("field is not null")
+def best(found: DataFrame, keys: list[str] = (), fitness: Fitness | None = None) -> DataFrame:
+    """The fittest rule (to 9 digits; ties by field, then threshold) for each combination of the keys. With ``fitness``
+    the candidates needn't be scored before."""
+    found = with_fitness(found, fitness) if fitness else found
+    rank = F.struct((-F.round("fitness", 9)).alias("o"), "field", "threshold", "fitness", "n_le", "n_gt")
+    ranked = found.select(*keys, F.when(F.col("fitness").isNotNull(), rank).alias("rank"))
+    return ranked.groupBy(*keys).agg(F.min("rank").alias("r")).where("r is not null").select(*keys, "r.field", "r.threshold", "r.fitness", "r.n_le", "r.n_gt")
 
 
 def admitted(rules: DataFrame, depth: Column, max_depth: int = 16, force_depth: int = 0, min_entropy: float = float("-inf")) -> DataFrame:

@@ -11,8 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fitness import Fitness, labeling_entropy
 from ..sources.tables import written
 from . import rules
+from .ordered import global_rank
 
 #: A ternary tree of this depth still has its ids within 63 bits.
 MOST_DEPTH = 38
@@ -20,9 +22,9 @@ MOST_DEPTH = 38
 
 @dataclass(frozen=True)
 class Strategy:
-    """When nodes branch and what makes a rule fit; any function of three arrays of label counts will do."""
+    """When nodes branch and what makes a rule fit; any function of three lists of counts by label will do."""
 
-    fitness: rules.Fitness = rules.labeling_entropy(1.0)
+    fitness: Fitness = labeling_entropy(1.0)
     branch_threshold: int = 20
     max_depth: int = 16
     force_depth: int = 0
@@ -97,55 +99,73 @@ def value_of(field: Column, features: list[str]) -> Column:
     return out
 
 
-def grow(items: DataFrame, label: str, features: list[str], strategy: Strategy = Strategy(), node_col: str = "node_id") -> tuple[DataFrame, DataFrame]:
-    """Nodes and members of a tree over the items; one job for each level, over all its open nodes at once.
+def grow(
+    items: DataFrame, label: str, features: list[str], strategy: Strategy = Strategy(), node_col: str = "node_id", borders: dict[str, list[float]] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes and members of a tree over the items; two jobs for each level, over all its open nodes at once: one counts
+    and chooses rules, one moves the items of those nodes that go on. Others are left where they are written.
 
-    A node whose rule would leave a side empty stays a leaf. Only the root is split whatever its size.
+    A node whose rule would leave a side empty stays a leaf. Only the root is split whatever its size. A rule's counts
+    tell its children's sizes. ``borders``, as ``rules.borders_of`` gives them, deal fields of very many values evenly.
     """
     if strategy.max_depth > MOST_DEPTH:
         raise ValueError(f"deeper than {MOST_DEPTH}")
     labels = rules.labels_of(items, label)
-    members = written(items.withColumn(node_col, F.lit(1).cast("long")))
-    nodes: DataFrame | None = None
-    level = 0
-    while level < strategy.max_depth:
-        active = members.where(_at_depth(node_col, level))
-        sizes = active.groupBy(node_col).agg(F.count("*").alias("n"))
-        open_ = sizes if level == 0 else rules.splittable(sizes, strategy.branch_threshold)
-        inside = active.join(open_.select(node_col), node_col, "left_semi")
-        found = rules.scored(rules.candidates(inside, label, features, [node_col], labels), strategy.fitness)
-        chosen = rules.admitted(rules.best(found, [node_col]), F.lit(level), strategy.max_depth, strategy.force_depth, strategy.min_entropy)
-        chosen = written(chosen.where("n_le > 0 and n_gt > 0").withColumn("depth", F.lit(level)))
-        if chosen.isEmpty():
+    active = written(items.withColumn(node_col, F.lit(1).cast("long")))
+    at_rest, levels = [], []
+    sizes = written(active.groupBy(node_col).agg(F.count("*").alias("n")))
+    for level in range(strategy.max_depth):
+        found = rules.best(rules.candidates(active, label, features, [node_col], labels, borders), [node_col], strategy.fitness)
+        chosen = rules.admitted(found, F.lit(level), strategy.max_depth, strategy.force_depth, strategy.min_entropy)
+        chosen = chosen.where("n_le > 0 and n_gt > 0").withColumn("depth", F.lit(level)).join(sizes, node_col)
+        born = {0: F.col("n_gt"), 1: F.col("n_le"), 2: F.col("n") - F.col("n_gt") - F.col("n_le")}
+        goes_on = F.array(*[born[b] > strategy.branch_threshold for b in born])
+        chosen = written(chosen.withColumns({"born": F.array(*born.values()), "goes_on": goes_on}))
+        counts = chosen.agg(F.count("*").alias("rules"), F.count_if(F.array_contains("goes_on", True)).alias("open")).first()
+        if not counts.rules:
             break
-        nodes = chosen if nodes is None else nodes.union(chosen)
-        members = written(_routed_once(members, chosen, features, node_col))
-        level += 1
-    leaves = members.groupBy(node_col).agg(F.count("*").alias("n"))
-    none = lambda kind: F.lit(None).cast(kind)
-    out = leaves.select(F.col(node_col).alias("node_id"), depth(F.col(node_col)).alias("depth"), none("string").alias("field"), none("double").alias("threshold"), none("double").alias("fitness"), F.lit(True).alias("is_leaf"))
-    if nodes is not None:
-        inner = nodes.select(F.col(node_col).alias("node_id"), "depth", "field", "threshold", "fitness", F.lit(False).alias("is_leaf"))
-        # an exception child may be empty: such nodes exist without members
-        born = inner.select(F.explode(F.array(*[child(F.col("node_id"), F.lit(b)) for b in (0, 1, 2)])).alias("node_id"))
-        missing = born.join(inner.select("node_id").union(out.select("node_id")), "node_id", "left_anti")
-        empty = missing.select("node_id", depth(F.col("node_id")).alias("depth"), none("string").alias("field"), none("double").alias("threshold"), none("double").alias("fitness"), F.lit(True).alias("is_leaf"))
-        out = inner.union(out).union(empty)
-    return written(out), members
-
-
-def _at_depth(node_col: str, level: int) -> Column:
-    first = (3**level - 1) // 2 + 1
-    return F.col(node_col).between(first, first + 3**level - 1)
+        levels.append(chosen)
+        joined = _branched(active, chosen.select(node_col, "field", "threshold", "goes_on"), features, node_col)
+        moved = joined.withColumn("_on", F.coalesce(F.get("goes_on", F.col("_bit")), F.lit(False)))
+        parts = written(moved.select(*[c for c in active.columns if c != node_col], F.col("_below").alias(node_col), "_on"), by="_on" if counts.open else None)
+        at_rest.append(parts.where("not _on").drop("_on"))
+        active = parts.where("_on").drop("_on")
+        sizes = chosen.select(F.posexplode("born").alias("b", "n"), node_col).select(child(F.col(node_col), F.col("b")).alias(node_col), "n")
+        if not counts.open or level + 1 == strategy.max_depth:
+            break
+    members = active
+    for part in at_rest:
+        members = members.unionByName(part)
+    return _nodes(levels, written(members.groupBy(node_col).agg(F.count("*").alias("n"))) if not levels else None, items.sparkSession, node_col), members
+
+
+def _nodes(levels: list[DataFrame], root: DataFrame | None, spark, node_col: str) -> DataFrame:
+    """Inner nodes, and the children of these that have no rule: leaves, with or without members."""
+    kinds = "node_id long, depth int, field string, threshold double, fitness double, is_leaf boolean"
+    if root is not None:
+        none = [F.lit(None).cast(k).alias(c) for c, k in (("field", "string"), ("threshold", "double"), ("fitness", "double"))]
+        return written(root.select(F.lit(1).cast("long").alias("node_id"), F.lit(0).alias("depth"), *none, F.lit(True).alias("is_leaf")).where("node_id is not null"))
+    inner = levels[0]
+    for level in levels[1:]:
+        inner = inner.unionByName(level)
+    inner = inner.select(F.col(node_col).alias("node_id"), "depth", "field", "threshold", "fitness", F.lit(False).alias("is_leaf"))
+    born = inner.select(F.explode(F.array(*[child(F.col("node_id"), F.lit(b)) for b in (0, 1, 2)])).alias("node_id"), (F.col("depth") + 1).alias("depth"))
+    leaves = born.join(inner.select("node_id"), "node_id", "left_anti")
+    return written(inner.unionByName(leaves.withColumn("is_leaf", F.lit(True)), allowMissingColumns=True).select(*[c.split()[0] for c in kinds.split(", ")]))
+
+
+def _branched(members: DataFrame, chosen: DataFrame, features: list[str], node_col: str) -> DataFrame:
+    """``members`` with their node's rule, ``_bit``, the branch that it gives, and ``_below``, the node they come to."""
+    # a rule for each open node of a level: whether they are sent to all workers is left to their size
+    joined = members.join(chosen, node_col, "left")
+    joined = joined.withColumn("_bit", F.when(F.col("field").isNotNull(), rules.branch(value_of(F.col("field"), features), F.col("threshold"))).cast("int"))
+    return joined.withColumn("_below", F.when(F.col("_bit").isNull(), F.col(node_col)).otherwise(child(F.col(node_col), F.col("_bit"))))
 
 
 def _routed_once(members: DataFrame, chosen: DataFrame, features: list[str], node_col: str) -> DataFrame:
     columns = members.columns
-    # a rule for each open node of a level: two numbers and a name
-    joined = members.join(F.broadcast(chosen.select(node_col, "field", "threshold")), node_col, "left")
-    bit_ = rules.branch(value_of(F.col("field"), features), F.col("threshold"))
-    below = F.when(F.col("field").isNull(), F.col(node_col)).otherwise(child(F.col(node_col), bit_))
-    return joined.withColumn("_below", below).drop(node_col, "field", "threshold").withColumnRenamed("_below", node_col).select(*columns)
+    joined = _branched(members, chosen.select(node_col, "field", "threshold"), features, node_col)
+    return joined.drop(node_col).withColumnRenamed("_below", node_col).select(*columns)
 
 
 def routed(items: DataFrame, nodes: DataFrame, features: list[str], node_col: str = "node_id") -> DataFrame:
@@ -173,6 +193,40 @@ def subtree_counts(members: DataFrame, label: str, node_col: str = "node_id") ->
     return leaves.select(F.explode(ancestors(F.col(node_col))).alias("node_id"), "label", "n").groupBy("node_id", "label").agg(F.sum("n").alias("n"))
 
 
+def label_histogram(members: DataFrame, label: str, labels: list[str]) -> DataFrame:
+    """``node_id`` and ``n_<label>`` for every node that has items below it."""
+    counted = subtree_counts(members, label)
+    return counted.groupBy("node_id").agg(*[F.coalesce(F.sum(F.when(F.col("label") == y, F.col("n"))), F.lit(0)).alias(f"n_{y}") for y in labels])
+
+
+def found(items: DataFrame, nodes: DataFrame, members: DataFrame, label: str, labels: list[str], features: list[str]) -> DataFrame:
+    """Each item with the node it comes to, the path there from the root, and the label counts of the members there."""
+    here = routed(items, nodes, features)
+    names = F.array_join(F.transform(path(F.col("node_id")), lambda b: b.cast("string")), "")
+    return here.join(label_histogram(members, label, labels), "node_id", "left").withColumn("path", names)
+
+
+def info(nodes: DataFrame, members: DataFrame, label: str, labels: list[str]) -> DataFrame:
+    """Every node with its rule and the label counts of all below it; zeros where nothing is."""
+    counts = nodes.join(label_histogram(members, label, labels), "node_id", "left")
+    return counts.select("node_id", "depth", "field", "threshold", *[F.coalesce(f"n_{y}", F.lit(0)).alias(f"n_{y}") for y in labels])
+
+
+def in_walk_order(members: DataFrame, ids: list[str], node_col: str = "node_id") -> DataFrame:
+    """Members by node, pass before fail before exception before their parent, with their place from 1."""
+    return global_rank(members.withColumn("walk_key", walk_key(F.col(node_col))), ["walk_key", *ids], "place")
+
+
+def listed(members: DataFrame, ids: list[str], cursor: tuple | None, most: int, node_col: str = "node_id") -> DataFrame:
+    """The next ``most`` members in walk order behind the cursor, the last page's last walk key and ids (None: from the
+    first). A page is found by its key, not by counting."""
+    keyed = members.withColumn("walk_key", walk_key(F.col(node_col)))
+    place = F.struct("walk_key", *ids)
+    if cursor is not None:
+        keyed = keyed.where(place > F.struct(*[F.lit(v).alias(c) for v, c in zip(cursor, ["walk_key", *ids])]))
+    return keyed.orderBy("walk_key", *ids).limit(most)
+
+
 def predictions(members: DataFrame, label: str, node_col: str = "node_id") -> DataFrame:
     """The most frequent label of each leaf; ties by label."""
     leaves = members.groupBy(node_col, F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))

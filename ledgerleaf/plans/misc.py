@@ -1,11 +1,13 @@
 """Queries of scalar functions, text, codecs and streams, each with its equivalent in SQL."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
 from ..functions.time import age_us, epoch_us, iso_name
 from ..sources import ingest
-from ..sources.tables import table
+from ..sources.tables import VersionStore, shared_dir, table, versions
 
 
 def event_time():
@@ -101,6 +103,61 @@ def str_sessions(spark, sf):
     return s.select("user_id", F.unix_micros("session_window.start").alias("start"), "n")
 
 
+def _kept(df, form, **options):
+    """``df`` in files of another form in the shared folder, for the readers of that form."""
+    path = f"{shared_dir(df.sparkSession)}/{form}-{uuid.uuid4().hex}"
+    df.write.format(form).options(**options).save(path)
+    return path
+
+
+def src1_store(spark, sf):
+    """All versions through the partitioned store: stored twice, the second time in vain."""
+    store = VersionStore(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}")
+    every = versions(table(spark, sf, "events"))
+    store.store(every)
+    store.store(every.withColumn("value", F.lit(-1.0)))
+    return store.read()
+
+
+def src3_store_key(spark, sf):
+    store = VersionStore(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}")
+    store.store(versions(table(spark, sf, "events")))
+    return store.read(7).select("ptr", "eff", "seq")
+
+
+def src9_json_lines(spark, sf):
+    path = _kept(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), "json")
+    return ingest.json_items(spark, path, "p_partkey long, p_name string, p_size int", "part")
+
+
+def src11_delimited(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    items = ingest.delimited_items(spark, _kept(rows, "csv", compression="gzip"), ["quantity", "price", "discount", "tax"])
+    return items.groupBy("label", "quantity").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("price"))
+
+
+def src13_as_json(spark, sf):
+    return ingest.as_json(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"))
+
+
+def src15_settings(spark, sf):
+    lines = table(spark, sf, "nation").select(F.concat("n_name", F.lit(" = "), "n_regionkey", F.lit(" // a nation")).alias("value"))
+    found = ingest.settings(spark, _kept(lines, "text"), {"ATLANTIS": "9"})
+    return spark.createDataFrame(list(found.items()), "name string, value string")
+
+
+def str2_late_writes(spark, sf):
+    """Events in the order of their ids as reads and writes of users at times out of step, judged by a stream."""
+    from ..streaming.events import drained, judged_writes
+
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    op = F.when(F.col("event_type") == "purchase", "write").otherwise("read")
+    n = F.col("event_id")
+    log = stream.select(F.col("user_id").alias("ptr"), n.alias("seq"), (n * 1000 + n * 7919 % 600_000).alias("eff"), op.alias("op"))
+    return drained(judged_writes(log)).where("op = 'write'").select("ptr", "seq", "late")
+
+
 QUERIES = {
     "scl1_mod": (scl1_mod, "SELECT event_id, CAST(((CAST(floor(value) AS BIGINT) - 250) % 7 + 7) % 7 AS BIGINT) AS m FROM events"),
     "scl2_digits": (scl2_digits, """WITH RECURSIVE d(event_id, rest, digits) AS (SELECT event_id, event_id, '' FROM events UNION ALL SELECT event_id, rest // 3, (rest % 3) || digits FROM d WHERE rest > 0)
@@ -119,6 +176,14 @@ QUERIES = {
   r AS (SELECT conv_id, record, string_agg(line, chr(10) ORDER BY turn) AS text FROM n GROUP BY 1, 2)
   SELECT conv_id, count(*) AS records, CAST(sum(length(text)) AS BIGINT) AS chars FROM r WHERE regexp_matches(text, '(^|[^0-9a-z])[Tt]h') GROUP BY 1"""),
     "src17_masked": (src17_masked, "SELECT doc_id, length(regexp_replace(text, '[A-Za-z0-9+/=]{32,}', '...', 'g')) AS chars FROM documents"),
+    "src1_store": (src1_store, "SELECT user_id AS ptr, epoch_us(ts) AS eff, min(event_id) AS seq, arg_min(value, event_id) AS value, arg_min(event_type = 'error', event_id) AS deleted FROM events GROUP BY 1, 2"),
+    "src3_store_key": (src3_store_key, "SELECT user_id AS ptr, epoch_us(ts) AS eff, min(event_id) AS seq FROM events WHERE user_id = 7 GROUP BY 1, 2"),
+    "src9_json_lines": (src9_json_lines, "SELECT p_partkey, p_name, p_size, 'part' AS label FROM part"),
+    "src11_delimited": (src11_delimited, "SELECT l_returnflag AS label, l_quantity AS quantity, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1, 2"),
+    "src13_as_json": (src13_as_json, "SELECT CAST(to_json({'p_partkey': p_partkey, 'p_name': p_name, 'p_size': p_size}) AS VARCHAR) AS json FROM part"),
+    "src15_settings": (src15_settings, "SELECT n_name AS name, n_regionkey::VARCHAR AS value FROM nation UNION ALL SELECT 'ATLANTIS', '9'"),
+    "str2_late_writes": (str2_late_writes, """WITH l AS (SELECT user_id AS ptr, event_id AS seq, event_id * 1000 + event_id * 7919 % 600000 AS eff, event_type = 'purchase' AS w FROM events)
+  SELECT ptr, seq, late FROM (SELECT *, coalesce(max(eff) OVER (PARTITION BY ptr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > eff, false) AS late FROM l) WHERE w"""),
     "rel_rollup": (rel_rollup, "SELECT event_type AS prefix, event_id % 3 AS part, count(*) AS n, round(sum(value), 4) AS total, grouping_id(event_type, event_id % 3) AS level FROM events GROUP BY ROLLUP (event_type, event_id % 3)"),
     "str_tumbling": (str_tumbling, "SELECT epoch_us(ts) // 3600000000 AS hour, event_type, count(*) AS n FROM events GROUP BY ALL"),
     "str_sessions": (str_sessions, """WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS s FROM events),

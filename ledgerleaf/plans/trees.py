@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.fitness import accuracy, labeling_entropy, linear_entropy
 from ..operators import pages as pag
 from ..operators import rules, tree
 from ..sources.tables import table, written
 
-FEATURES = ["l_quantity", "l_discount", "l_tax"]
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 #: Rows without a quantity: they take the exception branch.
 LACKS = 13
 
@@ -16,41 +17,45 @@ def items(spark, sf):
     return rows.withColumn("l_quantity", F.when(F.col("l_partkey") % LACKS != 0, F.col("l_quantity")))
 
 
-def _sum(side):
-    return F.aggregate(F.transform(side, lambda s: s["n"]), F.lit(0).cast("long"), lambda a, c: a + c)
-
-
 def _candidates(spark, sf):
     return rules.candidates(items(spark, sf), "l_returnflag", FEATURES)
 
 
 def rul1_best_rule(spark, sf):
-    found = rules.best(rules.scored(_candidates(spark, sf), rules.labeling_entropy(1.0)))
+    found = rules.best(_candidates(spark, sf), fitness=labeling_entropy(1.0))
     return found.select("field", "threshold", F.round("fitness", 6).alias("fitness"), "n_le", "n_gt")
 
 
 def rul2_candidates(spark, sf):
     c = _candidates(spark, sf)
-    return c.select("field", "threshold", _sum("le").alias("n_le"), _sum("gt").alias("n_gt"), _sum("ex").alias("n_ex"), F.size(F.filter("le", lambda s: s["n"] > 0)).cast("long").alias("k_le"))
+    k_le = sum(((F.col(n) > 0).cast("long") for n in c.columns if n.startswith("le_")), F.lit(0).cast("long"))
+    return c.select("field", "threshold", *[rules.side(c, s).alias(f"n_{s}") for s in ("le", "gt", "ex")], k_le.alias("k_le"))
+
+
+def _scores(spark, sf, fitness):
+    return rules.scored(_candidates(spark, sf), fitness).select("field", "threshold", F.round("fitness", 6).alias("fitness"))
 
 
 def rul4_labeling_entropy(spark, sf):
-    return rules.scored(_candidates(spark, sf), rules.labeling_entropy(1.0)).select("field", "threshold", F.round("fitness", 6).alias("fitness"))
+    return _scores(spark, sf, labeling_entropy(1.0))
 
 
 def rul5_accuracy(spark, sf):
-    from ..functions.fitness import accuracy
-
-    return rules.scored(_candidates(spark, sf), accuracy).select("field", "threshold", F.round("fitness", 6).alias("fitness"))
+    return _scores(spark, sf, accuracy)
 
 
 def rul6_linear_entropy(spark, sf):
-    return rules.linear_entropy(_candidates(spark, sf)).select("field", "threshold", F.round("fitness", 6).alias("fitness"))
+    return _scores(spark, sf, linear_entropy())
+
+
+def rul7_best_mix(spark, sf):
+    found = rules.best(_candidates(spark, sf), fitness=linear_entropy())
+    return found.select("field", "threshold", F.round("fitness", 6).alias("fitness"), "n_le", "n_gt")
 
 
 def rul10_split(spark, sf):
     sizes = items(spark, sf).groupBy((F.col("l_suppkey") % 50).alias("node_id")).agg(F.count("*").alias("n"))
-    return rules.splittable(sizes.where("node_id % 2 = 0"), 20)
+    return rules.splittable(sizes, 20)
 
 
 def tre4_partition(spark, sf):
@@ -101,8 +106,36 @@ def tre15_walk(spark, sf):
     return global_rank(nodes, ["walk_key"], "place").select("node_id", "place")
 
 
+LABELS, IDS_OF = ["A", "N", "R"], ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+
+
+def tre16_walk_members(spark, sf):
+    """How many members, and up to which place, each node has in the order of the walk."""
+    placed = tree.in_walk_order(_members(spark, sf), IDS_OF)
+    return placed.groupBy("node_id").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.sum(F.col("place") * (F.col("l_orderkey") % 1000)).alias("mix"))
+
+
+def tre17_find(spark, sf):
+    """Where each item comes to, and what is there; counted, as items have no key of their own."""
+    out = tree.found(items(spark, sf), _nodes(spark, sf), _members(spark, sf), "l_returnflag", LABELS, FEATURES)
+    return out.groupBy("l_orderkey", "path", *[f"n_{y}" for y in LABELS]).agg(F.count("*").alias("items"))
+
+
+def tre18_info(spark, sf):
+    return tree.info(_nodes(spark, sf), _members(spark, sf), "l_returnflag", LABELS)
+
+
+def tre18_list(spark, sf):
+    """The page of 40 members behind a cursor."""
+    page = tree.listed(_members(spark, sf), IDS_OF, ("013", 1000, 0, 0, 0.0, 0.0), 40)
+    return page.select("node_id", "walk_key", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
 def tre20_accuracy(spark, sf):
-    a = tree.accuracy(items(spark, sf), _nodes(spark, sf), written(_members(spark, sf)), "l_returnflag", FEATURES)
+    """Predictions from nine tenths of the orders, measured on the last tenth."""
+    held_out = F.col("l_orderkey") % 10 == 0
+    learned = written(_members(spark, sf).where(~held_out))
+    a = tree.accuracy(items(spark, sf).where(held_out), _nodes(spark, sf), learned, "l_returnflag", FEATURES)
     return a.select("n", "hits", F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -115,9 +148,8 @@ def tre7_level1(spark, sf):
 
 def tre8_growth(spark, sf):
     """A whole tree over embeddings: leaves with their sizes and most frequent labels; no SQL, its levels depend on data."""
-    emb = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    features = [f"e{i}" for i in range(8)]
-    nodes, members = tree.grow(emb, "label", features, tree.Strategy(branch_threshold=50, max_depth=5))
+    emb = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    nodes, members = tree.grow(emb, "label", [f"e{i}" for i in range(64)])
     sizes = members.groupBy("node_id").agg(F.count("*").alias("n"))
     return nodes.join(sizes, "node_id", "left").join(tree.predictions(members, "label"), "node_id", "left").select(
         "node_id", "depth", "field", F.round("threshold", 6).alias("threshold"), "is_leaf", F.coalesce("n", F.lit(0)).alias("n"), "predicted"
@@ -163,7 +195,7 @@ def pag14_next_block(spark, sf):
 
 
 ITEMS = f"""i AS (SELECT *, CASE WHEN l_partkey % {LACKS} <> 0 THEN l_quantity END AS q FROM lineitem),
-  u AS (SELECT 'l_quantity' AS field, q AS v, l_returnflag AS y FROM i UNION ALL SELECT 'l_discount', l_discount, l_returnflag FROM i UNION ALL SELECT 'l_tax', l_tax, l_returnflag FROM i),
+  u AS (SELECT 'l_quantity' AS field, q AS v, l_returnflag AS y FROM i UNION ALL SELECT 'l_extendedprice', l_extendedprice, l_returnflag FROM i UNION ALL SELECT 'l_discount', l_discount, l_returnflag FROM i UNION ALL SELECT 'l_tax', l_tax, l_returnflag FROM i),
   g AS (SELECT field, v, y, count(*) AS c FROM u WHERE v IS NOT NULL GROUP BY ALL),
   tot AS (SELECT field, y, sum(c) AS n FROM g GROUP BY ALL), ex AS (SELECT field, y, count(*) AS x FROM u WHERE v IS NULL GROUP BY ALL),
   grid AS (SELECT d.field, d.v, t.y, t.n, coalesce(g.c, 0) AS c FROM (SELECT DISTINCT field, v FROM g) d JOIN tot t USING (field) LEFT JOIN g ON g.field = d.field AND g.v = d.v AND g.y = t.y),
@@ -175,8 +207,11 @@ ENTROPY = f"""{ITEMS}, le AS (SELECT c.field, c.v, sum(CASE WHEN m.le > 0 THEN m
   xe AS (SELECT ex.field, sum(x * ln((x + 1) / (xs.xs + xs.kx))) AS t FROM ex JOIN xs USING (field) GROUP BY ALL),
   fit AS (SELECT c.field, c.v, c.ls, c.gs, (le.t + coalesce(xe.t, 0)) / ((c.ls + c.gs + c.xs) * ln(2)) AS f FROM c JOIN le USING (field, v) LEFT JOIN xe USING (field)
     WHERE c.ls > 0.15 * (c.ls + c.gs + c.xs) AND c.gs > 0.15 * (c.ls + c.gs + c.xs))"""
-ROUTE = f"""m AS (SELECT l_orderkey, l_returnflag, CASE WHEN q IS NULL THEN 4 WHEN q > 30 THEN CASE WHEN l_discount > 0.05 THEN 5 ELSE 6 END ELSE CASE WHEN l_tax > 0.04 THEN 8 ELSE 9 END END AS node_id
+ROUTE = f"""m AS (SELECT *, CASE WHEN q IS NULL THEN 4 WHEN q > 30 THEN CASE WHEN l_discount > 0.05 THEN 5 ELSE 6 END ELSE CASE WHEN l_tax > 0.04 THEN 8 ELSE 9 END END AS node_id
   FROM (SELECT *, CASE WHEN l_partkey % {LACKS} <> 0 THEN l_quantity END AS q FROM lineitem))"""
+WALK = "CASE node_id WHEN 4 THEN '23' WHEN 5 THEN '003' WHEN 6 THEN '013' WHEN 8 THEN '103' ELSE '113' END"
+HISTOGRAM = """a AS (SELECT node_id, l_returnflag AS y FROM m UNION ALL SELECT (node_id - 2) // 3 + 1, l_returnflag FROM m WHERE node_id > 4 UNION ALL SELECT 1, l_returnflag FROM m),
+  h AS (SELECT node_id, count(*) FILTER (y = 'A') AS n_A, count(*) FILTER (y = 'N') AS n_N, count(*) FILTER (y = 'R') AS n_R FROM a GROUP BY 1)"""
 IDS = """RECURSIVE t(node_id, parent, branch, depth, path) AS (SELECT 1::BIGINT, NULL::BIGINT, NULL::BIGINT, 0::BIGINT, ''
   UNION ALL SELECT 3 * (node_id - 1) + b + 2, node_id, b, depth + 1, path || b FROM t, (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT)) v(b) WHERE depth < 5)"""
 MIX = f"""{ITEMS}, tt AS (SELECT field, sum(n) AS n FROM (SELECT field, n FROM tot UNION ALL SELECT field, x FROM ex) GROUP BY 1),
@@ -193,11 +228,13 @@ QUERIES = {
     "rul4_labeling_entropy": (rul4_labeling_entropy, f"WITH {ENTROPY} SELECT field, v AS threshold, round(f, 6) AS fitness FROM fit"),
     "rul5_accuracy": (rul5_accuracy, f"WITH {ITEMS} SELECT field, v AS threshold, round(1 - (ls - ml + gs - mg + xs - mx) / (ls + gs + xs), 6) AS fitness FROM c WHERE ls > 0.15 * (ls + gs) AND gs > 0.15 * (ls + gs)"),
     "rul6_linear_entropy": (rul6_linear_entropy, f"WITH {MIX} SELECT field, v AS threshold, round(sum(-0.1 * x * ln(1 / nn + x) + x * ln(1 / nn + y) - y * ln(1 / nn + x)), 6) AS fitness FROM terms WHERE ls > 0 AND gs > 0 GROUP BY 1, 2"),
-    "rul10_split": (rul10_split, "SELECT l_suppkey % 50 AS node_id, count(*) AS n FROM lineitem WHERE l_suppkey % 50 % 2 = 0 GROUP BY 1 HAVING count(*) > 20"),
+    "rul7_best_mix": (rul7_best_mix, f"""WITH {MIX}, f AS (SELECT field, v, sum(-0.1 * x * ln(1 / nn + x) + x * ln(1 / nn + y) - y * ln(1 / nn + x)) AS f, any_value(ls) AS ls, any_value(gs) AS gs FROM terms WHERE ls > 0 AND gs > 0 GROUP BY 1, 2)
+  SELECT field, v AS threshold, round(f, 6) AS fitness, CAST(ls AS BIGINT) AS n_le, CAST(gs AS BIGINT) AS n_gt FROM f ORDER BY round(f, 9) DESC, field, v LIMIT 1"""),
+    "rul10_split": (rul10_split, "SELECT l_suppkey % 50 AS node_id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 20"),
     "tre4_partition": (tre4_partition, f"SELECT CAST(CASE WHEN l_partkey % {LACKS} = 0 THEN 2 WHEN l_quantity > 30 THEN 0 ELSE 1 END AS INTEGER) AS branch, l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY ALL"),
     "tre5_find": (tre5_find, f"WITH {ROUTE} SELECT CAST(node_id AS BIGINT) AS node_id, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS orders FROM m GROUP BY 1"),
     "tre7_level1": (tre7_level1, f"""WITH {ENTROPY}, b AS (SELECT field, v FROM fit ORDER BY round(f, 9) DESC, field, v LIMIT 1),
-  r AS (SELECT i.l_returnflag AS label, CASE b.field WHEN 'l_quantity' THEN i.q WHEN 'l_discount' THEN i.l_discount ELSE i.l_tax END AS x, b.v FROM i, b)
+  r AS (SELECT i.l_returnflag AS label, CASE b.field WHEN 'l_quantity' THEN i.q WHEN 'l_extendedprice' THEN i.l_extendedprice WHEN 'l_discount' THEN i.l_discount ELSE i.l_tax END AS x, b.v FROM i, b)
   SELECT CAST(CASE WHEN x IS NULL THEN 4 WHEN x > v THEN 2 ELSE 3 END AS BIGINT) AS node_id, label, count(*) AS n FROM r GROUP BY ALL"""),
     "tre8_growth": (tre8_growth, None),
     "tre9_ids": (tre9_ids, f"WITH {IDS} SELECT node_id, parent, branch, depth, 3 * (node_id - 1) + 2 AS first_child FROM t"),
@@ -207,7 +244,12 @@ QUERIES = {
   SELECT a.node_id, a.ancestor, n.rule FROM a JOIN n ON n.node_id = a.ancestor"""),
     "tre13_counts": (tre13_counts, f"WITH {ROUTE}, a AS (SELECT node_id, l_returnflag FROM m UNION ALL SELECT (node_id - 2) // 3 + 1, l_returnflag FROM m WHERE node_id > 4 UNION ALL SELECT 1, l_returnflag FROM m) SELECT CAST(node_id AS BIGINT) AS node_id, l_returnflag AS label, count(*) AS n FROM a GROUP BY ALL"),
     "tre15_walk": (tre15_walk, f"WITH {IDS} SELECT node_id, row_number() OVER (ORDER BY path || '3') AS place FROM t WHERE node_id <= 40"),
-    "tre20_accuracy": (tre20_accuracy, f"WITH {ROUTE}, k AS (SELECT node_id, l_returnflag AS y, count(*) AS n FROM m GROUP BY ALL), p AS (SELECT node_id, y FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY n DESC, y DESC) AS rn FROM k) WHERE rn = 1) SELECT count(*) AS n, count(*) FILTER (m.l_returnflag = p.y) AS hits, round(avg(CASE WHEN m.l_returnflag = p.y THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM m JOIN p USING (node_id)"),
+    "tre16_walk_members": (tre16_walk_members, f"WITH {ROUTE}, w AS (SELECT *, row_number() OVER (ORDER BY {WALK}, l_orderkey, l_partkey, l_suppkey, l_extendedprice, q) AS place FROM m) SELECT CAST(node_id AS BIGINT) AS node_id, min(place) AS first, max(place) AS last, CAST(sum(place * (l_orderkey % 1000)) AS BIGINT) AS mix FROM w GROUP BY 1"),
+    "tre17_find": (tre17_find, f"WITH {ROUTE}, {HISTOGRAM} SELECT l_orderkey, rtrim({WALK}, '3') AS path, n_A, n_N, n_R, count(*) AS items FROM m JOIN h USING (node_id) GROUP BY ALL"),
+    "tre18_info": (tre18_info, f"""WITH {ROUTE}, {HISTOGRAM}, n(node_id, depth, field, threshold) AS (VALUES (1, 0, 'l_quantity', 30.0::DOUBLE), (2, 1, 'l_discount', 0.05), (3, 1, 'l_tax', 0.04), (4, 1, NULL, NULL), (5, 2, NULL, NULL), (6, 2, NULL, NULL), (7, 2, NULL, NULL), (8, 2, NULL, NULL), (9, 2, NULL, NULL), (10, 2, NULL, NULL))
+  SELECT CAST(n.node_id AS BIGINT) AS node_id, depth, field, threshold, coalesce(n_A, 0) AS n_A, coalesce(n_N, 0) AS n_N, coalesce(n_R, 0) AS n_R FROM n LEFT JOIN h ON h.node_id = n.node_id"""),
+    "tre18_list": (tre18_list, f"WITH {ROUTE}, w AS (SELECT *, {WALK} AS walk_key FROM m) SELECT CAST(node_id AS BIGINT) AS node_id, walk_key, l_orderkey, l_partkey, l_suppkey, l_extendedprice FROM w WHERE walk_key > '013' OR walk_key = '013' AND l_orderkey >= 1000 ORDER BY walk_key, l_orderkey, l_partkey, l_suppkey, l_extendedprice, q LIMIT 40"),
+    "tre20_accuracy": (tre20_accuracy, f"WITH {ROUTE}, k AS (SELECT node_id, l_returnflag AS y, count(*) AS n FROM m WHERE l_orderkey % 10 <> 0 GROUP BY ALL), p AS (SELECT node_id, y FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY n DESC, y DESC) AS rn FROM k) WHERE rn = 1) SELECT count(*) AS n, count(*) FILTER (m.l_returnflag = p.y) AS hits, round(avg(CASE WHEN m.l_returnflag = p.y THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM m LEFT JOIN p USING (node_id) WHERE l_orderkey % 10 = 0"),
     "pag1_schema": (pag1_schema, """WITH p AS (SELECT unnest([{'f': 'p_name', 'v': p_name}, {'f': 'p_brand', 'v': p_brand}, {'f': 'p_type', 'v': p_type}, {'f': 'p_size', 'v': p_size::VARCHAR}, {'f': 'p_retailprice', 'v': p_retailprice::VARCHAR}]) AS s FROM part)
   SELECT s.f AS field, CASE WHEN bool_and(try_cast(s.v AS DOUBLE) IS NOT NULL) THEN 'double' ELSE 'string' END AS kind, count(s.v) AS present FROM p GROUP BY 1"""),
     "pag3_union": (pag3_union, "SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, true AS no_nation, NULL::DOUBLE AS nation FROM customer UNION ALL SELECT s_name, s_acctbal, NULL, false, s_nationkey::DOUBLE FROM supplier"),

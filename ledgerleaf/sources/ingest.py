@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from ..functions.scalars import attribute_value
 
 
+#: Settings are read by the driver: more of them are an error.
+MOST_SETTINGS = 10_000
+
+
 def json_items(spark: SparkSession, path: str, schema: T.StructType | str, label: str) -> DataFrame:
     """JSON lines under one label."""
     return spark.read.schema(schema).json(path).withColumn("label", F.lit(label))
@@ -48,7 +52,10 @@ def settings(spark: SparkSession, path: str, defaults: dict[str, str] | None = N
     error."""
     lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "//.*$", "")).alias("line")).where("line <> ''")
     out = dict(defaults or {})
-    for r in lines.limit(10_000).collect():
+    found = lines.limit(MOST_SETTINGS + 1).collect()
+    if len(found) > MOST_SETTINGS:
+        raise ValueError(f"more than {MOST_SETTINGS} settings")
+    for r in found:
         parts = r.line.split("=")
         if len(parts) != 2:
             raise ValueError(f"not one key and one value: {r.line}")

@@ -26,11 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared folder, reread: it cuts the lineage, and any executor can be lost afterwards."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` as Parquet in the shared folder, reread: it cuts the lineage, and any executor can be lost afterwards. With
+    ``by`` there is a folder for each value of that column."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -74,22 +74,48 @@ def consumed(operations: DataFrame, handle: Callable[[DataFrame, int], None], ch
 
 
 class GrowingTree:
-    """A tree that routes each batch to its leaves and splits those that have become large, one level a batch."""
+    """A tree that routes each batch to its leaves and splits those that have become large, one level a batch.
 
-    def __init__(self, spark: SparkSession, label: str, features: list[str], strategy: tree.Strategy = tree.Strategy()):
+    After each batch its members and nodes lie below ``at``, a folder that all executors share; the batch's number is
+    noted last. A tree over the same folder goes on from there, and a batch handed out again changes nothing.
+    """
+
+    NODES = "node_id long, depth int, field string, threshold double, fitness double, is_leaf boolean"
+
+    def __init__(self, spark: SparkSession, label: str, features: list[str], strategy: tree.Strategy = tree.Strategy(), at: str | None = None):
         self.spark, self.label, self.features, self.strategy = spark, label, features, strategy
+        self.at = at or f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
         self.members: DataFrame | None = None
-        self.nodes = spark.createDataFrame([], "node_id long, depth int, field string, threshold double, fitness double, is_leaf boolean")
-
-    def add(self, batch: DataFrame, batch_id: int = 0) -> None:
+        self.nodes = spark.createDataFrame([], self.NODES)
+        self.last = -1
+        if at and (found := self._noted()) is not None:
+            self.last = found
+            self.members, self.nodes = (spark.read.parquet(f"{at}/{found}/{name}") for name in ("members", "nodes"))
+
+    def _noted(self) -> int | None:
+        try:
+            return self.spark.read.schema("batch long").parquet(f"{self.at}/noted").agg(F.max("batch")).first()[0]
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+
+    def add(self, batch: DataFrame, batch_id: int | None = None) -> None:
+        batch_id = self.last + 1 if batch_id is None else batch_id
+        if batch_id <= self.last:
+            return
         new = tree.routed(batch, self.nodes, self.features)
         members = written(new if self.members is None else self.members.unionByName(new))
         sizes = members.groupBy("node_id").agg(F.count("*").alias("n"))
         open_ = rules.splittable(sizes, self.strategy.branch_threshold).where(tree.depth(F.col("node_id")) < self.strategy.max_depth)
         inside = members.join(open_.select("node_id"), "node_id", "left_semi")
-        found = rules.scored(rules.candidates(inside, self.label, self.features, ["node_id"]), self.strategy.fitness)
-        chosen = rules.best(found, ["node_id"]).where("n_le > 0 and n_gt > 0")
+        chosen = rules.best(rules.candidates(inside, self.label, self.features, ["node_id"]), ["node_id"], self.strategy.fitness).where("n_le > 0 and n_gt > 0")
         chosen = written(chosen.where(F.col("fitness") > self.strategy.min_entropy))
         inner = chosen.select("node_id", tree.depth(F.col("node_id")).alias("depth"), "field", "threshold", "fitness", F.lit(False).alias("is_leaf"))
-        self.nodes = written(self.nodes.union(inner))
-        self.members = written(tree._routed_once(members, chosen, self.features, "node_id"))
+        parts = {"members": tree._routed_once(members, chosen, self.features, "node_id"), "nodes": self.nodes.union(inner)}
+        for name, part in parts.items():
+            # a batch that failed half-way has left files of no use
+            part.write.mode("overwrite").parquet(f"{self.at}/{batch_id}/{name}")
+        self.members, self.nodes = (self.spark.read.schema(p.schema).parquet(f"{self.at}/{batch_id}/{name}") for name, p in parts.items())
+        self.spark.createDataFrame([(batch_id,)], "batch long").write.mode("append").parquet(f"{self.at}/noted")
+        self.last = batch_id
