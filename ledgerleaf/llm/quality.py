@@ -1,11 +1,13 @@
 """Quality by compression: how much better a dictionary of good texts compresses a text than one of bad texts.
 
 Two zstandard dictionaries are trained on labelled texts. A text is cut into stretches of ``STRETCH`` bytes, all of
-which are compressed with each dictionary; the difference of the two sizes over the text's length, beside the size under
-the good dictionary and the shortness of the text, goes through a logistic curve that other labelled texts calibrate.
+which are compressed with each dictionary. Two differences of sizes, each over the text's length, go through a logistic
+curve that other labelled texts calibrate: what the good dictionary saves against the bad one, and against the bare text.
+The second finds texts that neither dictionary fits, or that repeat themselves.
 
 Fitting takes a bounded sample: at most ``per_class`` labelled texts of each class for the dictionaries and as many for
-the curve, none longer than ``longest`` bytes; scoring reads every text whole. Class shares come from all labels.
+the curve; of a text longer than ``longest`` bytes stretches at even distances, of so many bytes together. Scoring reads
+every text whole. Class shares come from all labels.
 
 Defined cases: a null or empty text has a score like any other (difference 0); without labels of both classes the score
 is the share of good labels, or 0.5 without any; repeated texts score alike; an empty table gives no rows; other columns
@@ -77,9 +79,9 @@ class Model:
         return score
 
 
-def features(text: bytes, good: Sizes, bad: Sizes) -> tuple[float, float, float]:
+def features(text: bytes, good: Sizes, bad: Sizes) -> tuple[float, float]:
     g, b, n = good.of(text), bad.of(text), max(1, len(text))
-    return (b - g) / n, g / n, 1 / math.sqrt(n)
+    return (b - g) / n, (n - g) / n
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -121,7 +123,10 @@ def fit(
     picked = [rows.where(F.col("label") == k).distinct().orderBy(order, "doc_id").limit(2 * per_class) for k in (0, 1)]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
     # at most 4 * per_class ids: a bounded broadcast
-    sample = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").where(F.length("text") <= longest)
+    n, parts = F.length("text"), longest // STRETCH
+    even = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substring(F.col("text"), F.floor(i * (n / parts)).cast("int") + 1, F.lit(STRETCH)))
+    sample = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    sample = sample.withColumn("text", F.when(n <= longest, F.col("text")).otherwise(F.unhex(F.array_join(F.transform(even, lambda t: F.hex(t)), ""))))
     sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     found = sorted(((bytes(r.text), r.label, r.rank) for r in sample.withColumn("rank", order).collect()), key=lambda r: r[2])
     by_class = {k: [t for t, label, _ in found if label == k] for k in (0, 1)}

@@ -196,6 +196,36 @@ def test_op7(spark, hard_dir, texts):
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
 
 
+def test_op7_scores_are_those_of_the_compressors(spark, hard_dir, texts):
+    """The registered scores from the model's dictionaries and weights, by plain compression of whole texts."""
+    import zstandard
+
+    from ledgerleaf.llm.quality import fit, score
+
+    docs, labels = (spark.read.parquet(f"{hard_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit(docs, labels, Q._remainder("doc_id", 5) != 0)
+    sizes = []
+    for raw in (model.good, model.bad):
+        kind = zstandard.ZstdCompressionDict(raw)
+        kind.precompute_compress(level=3)
+        c = zstandard.ZstdCompressor(level=3, dict_data=kind, write_content_size=False, write_dict_id=False)
+        sizes.append(lambda t, c=c: sum(len(c.compress(t[i : i + 2048])) for i in range(0, len(t), 2048)))
+    for r in score(docs, model).collect():
+        raw = texts[r.doc_id].encode()
+        g, b, n = sizes[0](raw), sizes[1](raw), max(1, len(raw))
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], ((b - g) / n, (n - g) / n), model.means, model.scales))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
+    # a long labelled text takes part by stretches of it
+    import random
+
+    rng = random.Random(8)
+    words = [["".join(rng.choices("abcdefghijkl", k=6)) for _ in range(400)] for _ in range(2)]
+    rows = [(i, " ".join(rng.choices(words[i % 2], k=9000 if i < 10 else 150)), i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    m = fit(df, df.select("doc_id", "quality"), F.lit(True), longest=1 << 13)
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in score(df, m).collect())
+
+
 def test_op7_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     label = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
