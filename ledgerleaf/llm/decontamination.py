@@ -7,14 +7,15 @@ normalised text lead back to words and to code points of the original.
 The patterns go to the workers in blocks whose bytes are bounded by ``block_bytes``; a benchmark of one block, the usual
 case, needs no shuffle, and with more of them each text is scanned once for each block and the finds are merged by text.
 
-Defined cases: a null or empty text has no words and no hits; a null or wordless item has no windows; repeated items
-count by their ids; repeated texts are each judged; an empty table gives no rows; other columns are ignored.
+Defined cases: a null or empty text has no words and no hits; a null or wordless item has no windows; windows of an item
+without an id are hit, but name no item; repeated items count by their ids; repeated texts are each judged; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_bytes
+from .common import ship, stored, text_bytes
 
 #: Upper case to lower case, and every byte that belongs to no word to a space. Bytes from 0x80 on belong to words.
 TO_WORDS = bytes(
@@ -119,7 +120,7 @@ def pattern_blocks(benchmark: DataFrame, width: int, block_bytes: int, item_col:
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(windows, pa.binary())], ["item_id", "window"])
 
     rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_bytes(text_col).alias("text"))
-    windows = rows.where("item_id is not null").mapInArrow(cut, "item_id long, window binary").distinct()
+    windows = rows.mapInArrow(cut, "item_id long, window binary").distinct()
     block, held = {}, 0
     for item, window in windows.toLocalIterator():
         window = bytes(window)
@@ -129,7 +130,8 @@ def pattern_blocks(benchmark: DataFrame, width: int, block_bytes: int, item_col:
         if window not in block:
             block[window] = []
             held += len(window) + 64
-        block[window].append(item)
+        if item is not None:
+            block[window].append(item)
     yield block
 
 
@@ -143,7 +145,7 @@ def find(
     names = ["row", "doc_id", "n_words", "hits", "items"]
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def found(patterns: Broadcast):
+    def found(rows: DataFrame, patterns: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _built_once(patterns) if patterns.value else None
             for batch in batches:
@@ -158,13 +160,18 @@ def find(
 
         return rows.mapInArrow(run, SCHEMA)
 
-    parts = [found(spark.sparkContext.broadcast(block)) for block in pattern_blocks(benchmark, width, block_bytes, item_col, item_text_col)]
-    if len(parts) == 1:
-        return parts[0].drop("row")
-
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
+    blocks = pattern_blocks(benchmark, width, block_bytes, item_col, item_text_col)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return found(rows, spark.sparkContext.broadcast(first)).drop("row")
+
+    # texts and their numbers are written, so that all scans agree on them; one block at a time is held anywhere
+    rows, every = stored(rows, "numbered"), None
+    for block in chain((first, second), blocks):
+        patterns = spark.sparkContext.broadcast(block)
+        part = stored(found(rows, patterns), "finds")
+        patterns.destroy()
+        every = part if every is None else every.union(part)
     by_text = every.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items")
     )
@@ -187,9 +194,14 @@ def clean(
 
         return rows.mapInArrow(run, rows.schema)
 
-    for block in pattern_blocks(benchmark, width, block_bytes, item_col, item_text_col):
-        if block:
-            docs = without(docs, spark.sparkContext.broadcast(block))
+    blocks = pattern_blocks(benchmark, width, block_bytes, item_col, item_text_col)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return without(docs, spark.sparkContext.broadcast(first)) if first else docs
+    for block in chain((first, second), blocks):
+        patterns = spark.sparkContext.broadcast(block)
+        docs = stored(without(docs, patterns), "clean")
+        patterns.destroy()
     return docs
 
 
