@@ -1,24 +1,22 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words, and of the byte n-grams that spell them, are quantised to levels of a logarithmic scale, and an n-gram
-of level q is put into a Bloom filter q times, once with each level. Its count is read back by probing levels until one
-is missing. A word's probability is its discounted count over all, plus the mass left by the discount times the
-probability of its spelling under the byte n-grams, each order smoothed by the one below. Spellings are learned from
-different words, once each: new words resemble rare ones.
-
-The filter is blocked: an n-gram's bits lie in one page. It has ``PER_ENTRY`` bits for each entry, so that it grows with
-the corpus, and holds all words from their first level on. It is never in one place: pages are built by the tasks that
-own them, ranges of pages (at most ``most_bits`` bits, 32 MB, each) meet the keys that ask for them in one task, and the
-answers go back to the block of words that asked. A word is scored once, however many texts have it.
-
-Texts are dealt into chunks of some 16 MB. A chunk reports its distinct words, gets their exact counts and probabilities
-back, and scores its texts with them: vocabularies of the whole corpus are never in one place.
-
-With ``word_orders`` above 1, word n-grams up to that order are counted over all training texts too. A piece of a chunk reports its
-distinct n-grams with their counts to ranges of keys; a range adds them up, puts their levels into its own filter and
-probes it for every piece that asked. A token's probability then starts from that of the word and is smoothed upwards:
-with each longer context before it, an end token at the start of a text, its count over the context's, plus the shorter
-context's probability. A context that no training text has leaves the shorter one's probability. Keys have 48 bits.
+Counts of words, of word n-grams, and of the byte n-grams that spell words, are quantised to levels of a logarithmic
+scale, and an n-gram of level q is put into a Bloom filter q times, once with each level. Its count is read back by
+probing levels until one is missing. A word's probability is its discounted count over all, plus the mass left by the
+discount times the probability of its spelling under the byte n-grams, each order smoothed by the one below. Spellings
+are learned from different words, once each: new words resemble rare ones. The discount follows from how many words occur
+once and twice. A token's probability starts from that of the word and is smoothed upwards: with each longer context
+before it (``word_orders`` words in all), an end token at the start of a text, the n-gram's count over the context's, plus
+the shorter context's probability. A context that no training text has leaves the shorter one's probability.
+
+The filter has ``PER_ENTRY`` bits for each entry, so that it grows with the corpus, and holds all n-grams from their first
+level on. It is never in one place: ranges of it (for words at most ``most_bits`` bits, 32 MB, each) meet the keys that
+ask for them in one task, and the answers go back to who asked. A word is modelled once, however many texts have it.
+
+Texts are dealt once into pieces of some 4 MB. A piece reports its distinct words and n-grams, with the n-grams' counts in
+its training texts, to ranges of keys, as differences of ascending keys; a range adds them up, builds its part of the
+filter, probes it for every piece, and the piece's texts, from the same exchange, are scored with the answers. Words are
+told apart by 64-bit hashes; keys of n-grams have 12 bits more than the number of tokens has, 48 at most.
 
 Defined cases: a null or empty text is its end token alone; a null id counts as held out; without training texts all
 counts are 0; repeated rows are counted and scored each; an empty table gives no rows; other columns are ignored.
@@ -27,41 +25,35 @@ counts are 0; repeated rows are counted and scored each; an empty table gives no
 from __future__ import annotations
 
 import math
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, ship, stored, text_bytes
+from .hashing import RUN_BYTES, StretchHasher, long_parts, row_runs
 
 U = np.uint64
-LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
+IN_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 #: No word holds a space: this one stands for the end of a text.
-END = b" end"
+END, END_KEY = b" end", U(0x3C6EF372FE94F82B)
 #: Levels of counts grow by this factor; bits of a page and of an entry; probes of an entry.
 BASE, PAGE, PER_ENTRY, PROBES = 1.5, 1 << 15, 12, 4
 ORDERS = 6
-DISCOUNT, SMOOTHING, ADDED = 0.5, 2.0, 0.1
-CHUNK_BYTES = 16 << 20
-#: Word n-grams are asked for, and texts scored, by these parts of a chunk.
-PIECES = 8
+SMOOTHING, ADDED = 2.0, 0.1
+#: Bytes of the texts of a piece, and of those among which a word is reported once.
+PIECE_BYTES, REPORT_BYTES = 4 << 20, 16 << 20
 #: Words of a block, and keys of a row that asks for counts.
-BLOCK_WORDS, ASKED = 25_000, 512
-#: Bytes of texts for each range of word n-grams, and bytes of a key and of a count in transit.
-RANGE_BYTES, KEY_BYTES, COUNT_BYTES = 4 << 20, 6, 4
+BLOCK_WORDS, ASKED, MESSAGE = 25_000, 512, 4096
+#: Words of a range, and bytes of texts for each range of word n-grams.
+RANGE_WORDS, RANGE_BYTES = 500_000, 8 << 20
 SCHEMA = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return [*text.translate(LOWER).split(), END]
-
-
 def level_of(count: Column) -> Column:
     return (F.floor(F.log(count.cast("double") * (1 + 1e-12)) / math.log(BASE)) + 1).cast("int")
 
@@ -79,8 +71,49 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
+def keys_of(hasher: StretchHasher, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keys of words; that of the end token is a number of its own."""
+    keys = hasher.of(raw, starts, ends)
+    for i in np.flatnonzero(raw[starts] == 0x20) if len(starts) else ():
+        keys[i] = END_KEY
+    return keys
+
+
 def word_keys(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=U, count=len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+    return keys_of(StretchHasher(), np.frombuffer(b"".join(words), dtype=np.uint8), np.append(0, ends[:-1]) if words else ends, ends)
+
+
+def tokenized(column: pa.Array, hasher: StretchHasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of rows of UTF-8 bytes: first row, row behind the last, lower-cased bytes, where words start and end, their
+    keys, and the number of each row's words."""
+    for a, b, raw, edges in row_runs(column):
+        parts = long_parts(raw, lambda part: ~IN_WORD[part]) if b == a + 1 and len(raw) > RUN_BYTES else [raw]
+        at, found = 0, []
+        for part in parts:
+            inside = IN_WORD[part]
+            first, last = inside.copy(), inside.copy()
+            first[1:] &= ~inside[:-1]
+            last[:-1] &= ~inside[1:]
+            if isinstance(parts, list):
+                inner = edges[1:-1]
+                here = inner[inner < len(part)]
+                first[here] = inside[here]
+                here = inner[inner > 0] - 1
+                last[here] = inside[here]
+            starts, ends, low = np.flatnonzero(first), np.flatnonzero(last) + 1, LOWER[part]
+            found.append((low, starts + at, ends + at, hasher.of(low, starts, ends)))
+            at += len(part)
+        low, starts, ends, keys = (np.concatenate(x) for x in zip(*found))
+        yield a, b, low, starts, ends, keys, np.diff(np.searchsorted(starts, edges))
+
+
+def gathered(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Stretches of bytes as a binary array."""
+    lengths = ends - starts
+    borders = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(lengths)))
+    data = raw[np.repeat(starts - borders[:-1], lengths) + np.arange(borders[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(borders.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def spellings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -155,9 +188,9 @@ class Answers:
 class Scorer:
     """log10 probabilities of words under the filter."""
 
-    def __init__(self, bits: np.ndarray | Answers, first_level: int, total: int, left_mass: float):
+    def __init__(self, bits: np.ndarray | Answers, first_level: int, total: int, left_mass: float, discount: float = 0.5):
         self.filter = bits if isinstance(bits, Answers) else LogFilter(bits, first_level)
-        self.total, self.left = max(1, total), left_mass
+        self.total, self.left, self.discount = max(1, total), left_mass, discount
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
         word, before, keys, contexts = spellings(words)
@@ -180,35 +213,42 @@ class Scorer:
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         c = self.filter.count(word_keys(words), self.filter.first)
-        own = np.maximum(c - DISCOUNT, 0) / self.total
+        own = np.maximum(c - self.discount, 0) / self.total
         return np.log10(own + self.left * 10 ** np.maximum(self.spelled(words), -300) + 1e-300)
 
 
-def chunk_words(chunked: DataFrame) -> DataFrame:
-    """``chunk``, ``word`` and ``n``, its count in the chunk's training texts, for every distinct word of a chunk."""
+def distinct_words(rows: DataFrame) -> DataFrame:
+    """``word`` and ``n``, its count in training texts, once for each stretch of some 16 MB of a task's texts that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(chunk: int, counts: Counter, words: set[bytes]) -> Iterator[pa.RecordBatch]:
-            every = list(words)
-            for a in range(0, len(every), 50_000):
-                part = every[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int32()), pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], ["chunk", "word", "n"])
+        hasher, names, ends_trained, ends_seen = StretchHasher(), ["word", "n"], 0, 0
 
-        chunk, counts, words = None, Counter(), set()
-        for batch in batches:
-            for now, held_out, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if now != chunk and chunk is not None:
-                    yield from rows(chunk, counts, words)
-                    counts, words = Counter(), set()
-                chunk, found = now, words_of(text)
-                words.update(found)
-                if not held_out:
-                    counts.update(found)
-        if chunk is not None:
-            yield from rows(chunk, counts, words)
+        def report(held: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
+            keys, n, words = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), pa.concat_arrays([h[2] for h in held])
+            _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+            counts, words = np.bincount(place, weights=n).astype(np.int64), words.take(pa.array(first))
+            for a in range(0, len(first), 50_000):
+                yield pa.RecordBatch.from_arrays([words.slice(a, 50_000), pa.array(counts[a : a + 50_000])], names)
 
-    dealt = chunked.repartition(partitions(chunked.sparkSession), "chunk").sortWithinPartitions("chunk")
-    return dealt.select("chunk", "held_out", "text").mapInArrow(run, "chunk int, word binary, n long")
+        held, size = [], 0
+        for batch in batches:
+            held_out = np.array(batch.column(0).to_pylist(), dtype=bool)
+            ends_trained, ends_seen = ends_trained + int((~held_out).sum()), ends_seen + len(held_out)
+            for a, b, raw, starts, ends, keys, counts in tokenized(batch.column(1), hasher):
+                if len(keys):
+                    trained = np.repeat(~held_out[a:b], counts)
+                    every, first, place = np.unique(keys, return_index=True, return_inverse=True)
+                    held.append((every, np.bincount(place, weights=trained), gathered(raw, starts[first], ends[first])))
+                size += len(raw)
+                if size >= REPORT_BYTES and held:
+                    yield from report(held)
+                    held, size = [], 0
+        if held:
+            yield from report(held)
+        if ends_seen:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends_trained], pa.int64())], names)
+
+    return rows.select("held_out", "text").mapInArrow(run, "word binary, n long")
 
 
 def byte_grams(words: DataFrame) -> DataFrame:
@@ -286,8 +326,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
-def modelled(words: DataFrame, n_words: int, entries: DataFrame, n_entries: int, most_bits: int, total: int, left: float, n_bytes: int) -> DataFrame:
-    """``word``, ``c`` and ``model``, its log10 probability, for every row of ``words`` (``word``, ``c``).
+def modelled(words: DataFrame, n_words: int, entries: DataFrame, n_entries: int, most_bits: int, total: int, left: float, discount: float, n_bytes: int, n_ranges: int) -> DataFrame:
+    """Messages to ranges of words: for every row of ``words`` (``word``, ``c``) its count and log10 probability.
 
     A range of pages and the keys that fall into it meet in one task; a block of words asks all ranges.
     """
@@ -350,13 +390,16 @@ def modelled(words: DataFrame, n_words: int, entries: DataFrame, n_entries: int,
             keys, order = asked_keys(listed, n_pages, per_range)
             levels = np.empty(len(keys), dtype=np.int64)
             levels[order] = np.frombuffer(b"".join(parts), dtype=np.uint8)
-            scorer = Scorer(Answers(keys, levels), 1, total, left)
+            scorer = Scorer(Answers(keys, levels), 1, total, left, discount)
             scorer.filter_bytes = n_bytes
-            yield pa.RecordBatch.from_arrays([pa.array(listed, pa.binary()), pa.array(counts, pa.int64()), pa.array(scorer.log10(listed))], ["word", "c", "model"])
+            own, model, counts = word_keys(listed), scorer.log10(listed), np.array(counts, dtype=U)
+            order = np.argsort(own)
+            data = [(counts[order], packed), (model[order], lambda x: x.astype("<f4").tobytes())]
+            yield from messages(own[order], key_range(own[order], 64, n_ranges), -1, data)
 
     own = blocks.select("block", F.lit(-1).alias("at"), F.col("word").alias("data"), "c")
     joined = own.union(answers.select("block", "at", "data", F.lit(None).cast("long").alias("c"))).repartition(n, "block").sortWithinPartitions("block", "at")
-    return joined.mapInArrow(model, "word binary, c long, model double")
+    return joined.mapInArrow(model, MESSAGES)
 
 
 def word_grams(h: np.ndarray, starts: np.ndarray, orders: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -375,82 +418,129 @@ def word_grams(h: np.ndarray, starts: np.ndarray, orders: int) -> tuple[list[np.
     return keys, has
 
 
-def planes(values: np.ndarray, first: int) -> bytes:
-    """Bytes of the values from the ``first`` highest down, all highest bytes together: what is alike packs well."""
-    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, first:].T).tobytes()
+MESSAGES = "at int, piece int, part int, n int, data binary"
 
 
-def from_planes(data: bytes, n: int, last: int) -> np.ndarray:
-    """Values of the ``n`` items in ``data``, whose lowest byte is byte ``last`` of 8."""
-    raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, n).T
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, last + 1 - raw.shape[1] : last + 1] = raw
-    return out.view(">u8").reshape(-1).astype(U)
-
-
-def gram_range(keys: np.ndarray, n_ranges: int) -> np.ndarray:
-    return ((keys >> U(32)) * U(n_ranges) >> U(32)).astype(np.int32)
-
-
-def gram_levels(chunked: DataFrame, size: int, orders: int) -> DataFrame:
-    """``piece``, ``at``, ``part`` and ``data``: in the order of ``at`` and ``part`` the levels of a piece's distinct word
-    n-grams of orders 2 to ``orders``, by ascending key."""
-    n = partitions(chunked.sparkSession)
-    n_ranges = max(4 * n, size // RANGE_BYTES)
-
-    def asking(piece: int, hashes: list[np.ndarray], held: list[bool]) -> Iterator[pa.RecordBatch]:
-        lengths = np.array([len(h) for h in hashes])
-        keys, has = word_grams(np.concatenate(hashes), np.cumsum(lengths) - lengths, orders)
-        trained = np.repeat(~np.array(held), lengths)
-        every, place = np.unique(np.concatenate([k[x] for k, x in zip(keys, has)]), return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate([trained[x] for x in has]), minlength=len(every)).astype(np.int64)
-        at_range = gram_range(every, n_ranges)
-        starts, rows = np.flatnonzero(np.diff(at_range, prepend=-1)), []
-        for a, b in zip(starts, [*starts[1:], len(every)]):
-            for part, i in enumerate(range(a, b, ASKED)):
-                j = min(i + ASKED, b)
-                rows.append((int(at_range[a]), piece, part, planes(every[i:j], 0)[: KEY_BYTES * (j - i)] + planes(counts[i:j], 8 - COUNT_BYTES)))
-                if len(rows) >= 2000:
-                    yield grams_batch(rows, "at")
-                    rows = []
-        if rows:
-            yield grams_batch(rows, "at")
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes as the largest needs, all highest bytes together: what is alike packs well."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T).tobytes()
 
-    def grams_batch(rows: list[tuple], first: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], [first, "piece", "part", "data"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, group in groupby(_rows(batches), key=lambda r: r[0]):
-            known, hashes, held = Hashes(), [], []
-            for _, held_out, text in group:
-                found = words_of(text)
-                hashes.append(np.fromiter(map(known.__getitem__, found), dtype=U, count=len(found)))
-                held.append(held_out)
-            del known
-            yield from asking(piece, hashes, held)
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, group in groupby(_rows(batches), key=lambda r: r[0]):
-            asked, keys, counts = [], [], []
-            for _, piece, part, data in group:
-                m = len(data) // (KEY_BYTES + COUNT_BYTES)
-                asked.append((piece, part, m))
-                keys.append(from_planes(data[: KEY_BYTES * m], m, KEY_BYTES - 1))
-                counts.append(from_planes(data[KEY_BYTES * m :], m, 7).astype(np.float64))
-            every, place = np.unique(np.concatenate(keys), return_inverse=True)
-            c = np.bincount(place, weights=np.concatenate(counts), minlength=len(every))
+def unpacked(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """The ``n`` numbers packed at ``at``, and where they end."""
+    width = data[at]
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, 8 - width :] = np.frombuffer(data, np.uint8, width * n, at + 1).reshape(width, n).T
+    return out.view(">u8").reshape(-1).astype(U), at + 1 + width * n
+
+
+def unpacked_keys(data: bytes, n: int) -> tuple[np.ndarray, int]:
+    steps, at = unpacked(data, 8, n)
+    steps[0] = np.frombuffer(data, "<u8", 1)[0]
+    return np.cumsum(steps, dtype=U), at
+
+
+def messages(keys: np.ndarray, at_range: np.ndarray, piece: int, more: list) -> Iterator[pa.RecordBatch]:
+    """Rows that take ascending keys, and what ``more`` has for each (values and how they become bytes), to their ranges."""
+    starts, rows = np.flatnonzero(np.diff(at_range, prepend=-1)).tolist(), []
+    for a, b in zip(starts, [*starts[1:], len(keys)]):
+        for part, i in enumerate(range(a, b, MESSAGE)):
+            j = min(i + MESSAGE, b)
+            steps = np.diff(keys[i:j], prepend=keys[i])
+            data = keys[i].astype("<u8").tobytes() + packed(steps) + b"".join(f(values[i:j]) for values, f in more)
+            rows.append((int(at_range[a]), piece, part, j - i, data))
+            if len(rows) >= 512:
+                yield message_batch(rows)
+                rows = []
+    if rows:
+        yield message_batch(rows)
+
+
+def message_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32()] * 4 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in MESSAGES.split(", ")])
+
+
+def key_range(keys: np.ndarray, bits: int, n_ranges: int) -> np.ndarray:
+    """Ranges of ascending keys of so many bits."""
+    high = keys >> U(bits - 24) if bits > 24 else keys << U(24 - bits)
+    return ((high * U(n_ranges)) >> U(24)).astype(np.int32)
+
+
+def tokens_of(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all tokens of texts, an end token behind each text's words, and where texts start."""
+    ends = np.cumsum(counts + 1) - 1
+    out = np.empty(len(keys) + len(counts), dtype=U)
+    is_word = np.ones(len(out), dtype=bool)
+    is_word[ends] = False
+    out[ends], out[is_word] = END_KEY, keys
+    return out, ends - counts
+
+
+def distinct_grams(keys: np.ndarray, starts: np.ndarray, orders: int, bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ascending keys of the tokens' distinct word n-grams from order 2 on, the place among them of each token's n-gram of
+    each order, one order after another, and which tokens have one."""
+    grams, has = word_grams(keys, starts, orders)
+    every, place = np.unique(np.concatenate([k[x] for k, x in zip(grams, has)]) >> U(64 - bits), return_inverse=True)
+    return every, place, has
+
+
+class Ranges:
+    """Where keys of words and of n-grams are counted: word ranges come first."""
+
+    def __init__(self, words: int, grams: int, bits: int, orders: int):
+        self.words, self.grams, self.bits, self.orders = words, grams, bits, orders
+
+    def ask(self, piece: int, keys: np.ndarray, counts: np.ndarray, held_out: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A piece's messages."""
+        tokens, starts = tokens_of(keys, counts)
+        words = np.unique(tokens)
+        yield from messages(words, key_range(words, 64, self.words), piece, [])
+        if self.orders > 1:
+            every, place, has = distinct_grams(tokens, starts, self.orders, self.bits)
+            trained = np.repeat(~held_out, counts + 1)
+            n = np.bincount(place, weights=np.concatenate([trained[x] for x in has]), minlength=len(every)).astype(U)
+            yield from messages(every, key_range(every, self.bits, self.grams) + np.int32(self.words), piece, [(n, packed)])
+
+    def answer(self, at: int, group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """``group``: (piece, part, n, data) by piece; answers have a word's count and model, an n-gram's level."""
+        if at < self.words:
+            known = [unpacked_keys(data, n) + (n, data) for piece, _, n, data in group if piece < 0]
+            parts = [(keys, *unpacked(data, to, n), n, data) for keys, to, n, data in known]
+            keys = np.concatenate([p[0] for p in parts])
+            counts = np.concatenate([p[1] for p in parts])
+            model = np.concatenate([np.frombuffer(data, "<f4", n, to) for _, _, to, n, data in parts])
+            order = np.argsort(keys)
+            keys, counts, model = keys[order], counts[order], model[order]
+            rows = []
+            for piece, part, n, data in group:
+                if piece >= 0:
+                    asked = unpacked_keys(data, n)[0]
+                    place = np.searchsorted(keys, asked)
+                    if (keys[np.minimum(place, len(keys) - 1)] != asked).any():
+                        raise ValueError("a word that no table has")
+                    rows.append((at, piece, part, n, packed(counts[place]) + model[place].tobytes()))
+                    if len(rows) >= 512:
+                        yield message_batch(rows)
+                        rows = []
+        else:
+            asked = [(piece, part, n, *unpacked_keys(data, n), data) for piece, part, n, data in group]
+            counts = np.concatenate([unpacked(data, to, n)[0] for _, _, n, _, to, data in asked]).astype(np.float64)
+            every, place = np.unique(np.concatenate([a[3] for a in asked]), return_inverse=True)
+            c = np.bincount(place, weights=counts, minlength=len(every))
             seen = np.flatnonzero(c)
             levels = (np.floor(np.log(c[seen] * (1 + 1e-12)) / math.log(BASE)) + 1).astype(np.int64)
-            part_filter = filled(every[seen], levels)
-            found = part_filter.levels(every, part_filter.page(every)).astype(np.uint8)[place].tobytes()
-            ends = np.cumsum([m for _, _, m in asked]).tolist()
-            rows = [(at, piece, part, found[a:b]) for (piece, part, _), a, b in zip(asked, [0, *ends], ends)]
-            for i in range(0, len(rows), 4000):
-                yield grams_batch(rows[i : i + 4000], "at")
-
-    kind = "at int, piece int, part int, data binary"
-    dealt = chunked.repartition(n, "piece").sortWithinPartitions("piece").select("piece", "held_out", "text")
-    return dealt.mapInArrow(ask, kind).repartition(n, "at").sortWithinPartitions("at").mapInArrow(answer, kind)
+            own = filled(mixed(every[seen]), levels)
+            keys = mixed(every)
+            found = own.levels(keys, own.page(keys)).astype(np.uint8)[place].tobytes()
+            ends = np.cumsum([a[2] for a in asked]).tolist()
+            rows = [(at, piece, part, n, found[a:b]) for (piece, part, n, *_), a, b in zip(asked, [0, *ends], ends)]
+            for i in range(0, len(rows) - 512, 512):
+                yield message_batch(rows[i : i + 512])
+            rows = rows[(len(rows) - 1) // 512 * 512 :]
+        if rows:
+            yield message_batch(rows)
 
 
 def filled(keys: np.ndarray, levels: np.ndarray) -> LogFilter:
@@ -465,27 +555,13 @@ def filled(keys: np.ndarray, levels: np.ndarray) -> LogFilter:
     return LogFilter(np.packbits(bits, bitorder="little"), 1)
 
 
-class Hashes(dict):
-    """Keys of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def in_context(model: np.ndarray, at: np.ndarray, starts: np.ndarray, hashes: np.ndarray, exact: np.ndarray, end: int, levels: np.ndarray, orders: int) -> np.ndarray:
-    """log10 probabilities of tokens (``at``: their words' numbers, of which ``end`` is the end token's) behind the words
-    before them; ``levels`` are those of the tokens' distinct n-grams by ascending key."""
-    keys, has = word_grams(hashes[at], starts, orders)
-    every, place = np.unique(np.concatenate([k[x] for k, x in zip(keys, has)]), return_inverse=True)
-    if len(every) != len(levels):
-        raise ValueError("answers do not belong to these n-grams")
-    counts = typical_counts()[levels[place]]
-    around = np.concatenate(([end], at[:-1]))
-    around[starts] = end
-    p, n, done = 10.0 ** np.maximum(model[at], -300), exact[around], 0
+def in_context(p: np.ndarray, exact: np.ndarray, starts: np.ndarray, end_count: float, counts: np.ndarray, has: list[np.ndarray]) -> np.ndarray:
+    """log10 probabilities of tokens behind the words before them, from ``p``, their words' own; ``exact``: words' counts,
+    ``counts``: their n-grams', one order after another."""
+    n, done = np.concatenate(([end_count], exact[:-1])), 0
+    n[starts] = end_count
     for x in has:
-        c = np.zeros(len(at))
+        c = np.zeros(len(p))
         c[x] = counts[done : done + int(x.sum())]
         done += int(x.sum())
         n = np.where(x, np.maximum(n, c), 0)
@@ -500,16 +576,17 @@ def score(docs: DataFrame, held_out: Column, most_bits: int = 1 << 28, id_col: s
     """Counts and scores of every text; those where ``held_out``, a condition on ``doc_id``, is false are learned from."""
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(True)))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_chunks = max(partitions(spark), -(-size // CHUNK_BYTES))
-    chunked = rows.withColumn("piece", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks * PIECES)).cast("int"))
-    chunked = chunked.withColumn("chunk", F.floor(F.col("piece") / PIECES).cast("int"))
+    n = partitions(spark)
 
-    chunk_word = stored(chunk_words(chunked), "chunk-words")
-    words = stored(chunk_word.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    words = stored(distinct_words(rows).groupBy("word").agg(F.sum("n").alias("c")), "words")
     known = words.where("c > 0")
     by_level = known.groupBy(level_of(F.col("c")).alias("level")).agg(F.count("*").alias("types"), F.sum("c").alias("tokens")).collect()
     total, types = sum(r.tokens for r in by_level), sum(r.types for r in by_level)
+    once, twice = (sum(r.types for r in by_level if r.level == k) for k in (1, 2))
+    discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    n_words, size = words.agg(F.count("*"), F.sum((F.length("word") + 1) * F.col("c"))).first()
+    # texts that are only held out count by their share
+    size = (size or 0) * 10 // 9
 
     grams = stored(byte_grams(known.select("word", F.lit(1).cast("long").alias("n"))), "byte-grams")
     spelled = grams.agg(F.sum(level_of(F.col("n")).cast("long"))).first()[0] or 0
@@ -523,64 +600,69 @@ def score(docs: DataFrame, held_out: Column, most_bits: int = 1 << 28, id_col: s
     entries = by_word.union(grams.select("key", level_of(F.col("n")).alias("level"))).withColumn("first", F.lit(1))
     n_entries = spelled + sum(r.types * r.level for r in by_level)
     # what the discount leaves
-    left = types * DISCOUNT / total if total else 1.0
-    found = modelled(words, words.count(), entries, n_entries, most_bits, total, left, grams_total(known))
+    left = types * discount / total if total else 1.0
+    ranges = Ranges(max(n, n_words // RANGE_WORDS), max(n, size // RANGE_BYTES), min(48, 12 + max(12, int(total).bit_length())), word_orders)
+    found = modelled(words, n_words, entries, n_entries, most_bits, total, left, discount, grams_total(known), ranges.words)
+    found = stored(found, "modelled")
+    ends = words.where(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0
     smoothed = math.log10(total + ADDED * (types + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk in groupby(_rows(batches), key=lambda r: r[0]):
-            place, counts, models, tables = {}, array("q"), array("d"), None
-            for piece, rows in groupby(chunk, key=lambda r: r[1]):
-                if piece < 0:
-                    for _, _, _, _, _, word, c, model, _, _ in rows:
-                        place[word] = len(counts)
-                        counts.append(c)
-                        models.append(model)
-                    continue
-                if tables is None:
-                    exact = np.array(counts, dtype=float)
-                    tables = exact, np.array(models), word_keys(list(place)) if word_orders > 1 else None
-                yield from scored(place, *tables, rows)
-
-    def scored(place: dict[bytes, int], exact: np.ndarray, model: np.ndarray, hashes: np.ndarray | None, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        levels, ids, lengths, tokens = [], [], [], array("i")
-        for _, _, what, _, _, data, _, _, doc, text in rows:
-            if what == 1:
-                levels.append(data)
-                continue
-            found = words_of(text)
-            tokens.extend(map(place.__getitem__, found))
-            ids.append(doc)
-            lengths.append(len(found))
-        at = np.array(tokens, dtype=np.int64)
-        starts = np.cumsum(lengths) - np.array(lengths)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, piece, held = StretchHasher(), None, []
+        for batch in batches:
+            pieces = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(pieces)) + 1).tolist(), len(pieces)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a and pieces[a] != piece:
+                    if held:
+                        yield from ranges.ask(piece, *(np.concatenate(x) for x in zip(*held)))
+                    piece, held = int(pieces[a]), []
+                held_out = np.array(batch.column(2).slice(a, b - a).to_pylist(), dtype=bool)
+                for p, q, _, _, _, keys, counts in tokenized(batch.column(3).slice(a, b - a), hasher):
+                    held.append((keys, counts, held_out[p:q]))
+        if held:
+            yield from ranges.ask(piece, *(np.concatenate(x) for x in zip(*held)))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, group in groupby(_rows(batches), key=lambda r: r[0]):
+            yield from ranges.answer(at, [r[1:] for r in group])
+
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return pa.Table.from_batches([], schema=pa.schema([(x.split()[0], pa.float64() if "double" in x else pa.int64()) for x in SCHEMA.split(", ")]))
+        texts, hasher = texts.combine_chunks(), StretchHasher()
+        parts = [(keys, counts) for _, _, _, _, _, keys, counts in tokenized(texts["text"].chunk(0), hasher)]
+        keys, lengths = (np.concatenate(x) for x in zip(*parts))
+        tokens, starts = tokens_of(keys, lengths)
+        own = sorted((r for r in zip(*(answers[c].to_pylist() for c in ("at", "part", "n", "data")))), key=lambda r: r[:2])
+        of_words = [(*unpacked(data, 0, n), n, data) for at, _, n, data in own if at < ranges.words]
+        exact = np.concatenate([c for c, _, _, _ in of_words]).astype(np.float64)
+        model = np.concatenate([np.frombuffer(data, "<f4", n, to) for _, to, n, data in of_words]).astype(np.float64)
+        every, place = np.unique(tokens, return_inverse=True)
+        if len(every) != len(exact):
+            raise ValueError("answers do not belong to these words")
+        exact, scores = exact[place], model[place]
         if word_orders > 1:
-            scores = in_context(model, at, starts, hashes, exact, place[END], np.frombuffer(b"".join(levels), dtype=np.uint8), word_orders)
-        else:
-            scores = model[at]
-        base, seen, scores = (np.add.reduceat(t, starts) for t in (np.log10(exact + ADDED)[at], (exact > 0)[at].astype(np.int64), scores))
-        out = [(d, n, int(k), total, float(b) - n * smoothed, float(m)) for d, n, k, b, m in zip(ids, lengths, seen, base, scores)]
-        for i in range(0, len(out), 2000):
-            yield batch_of(out[i : i + 2000])
-
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    listed = chunk_word.select("chunk", "word").join(stored(found, "modelled"), "word")
-    no_part = [F.lit(0).alias("at"), F.lit(0).alias("part")]
-    together = listed.select("chunk", F.lit(-1).alias("piece"), F.lit(0).alias("what"), *no_part, "word", "c", "model", none("long", "doc_id"), none("binary", "text"))
-    if word_orders > 1:
-        answers = gram_levels(chunked, size, word_orders)
-        answers = answers.select(F.floor(F.col("piece") / PIECES).cast("int").alias("chunk"), "piece", F.lit(1).alias("what"), "at", "part", F.col("data").alias("word"), none("long", "c"), none("double", "model"), none("long", "doc_id"), none("binary", "text"))
-        together = together.union(answers)
-    texts = chunked.select("chunk", "piece", F.lit(2).alias("what"), *no_part, none("binary", "word"), none("long", "c"), none("double", "model"), "doc_id", "text")
-    together = together.union(texts).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "piece", "what", "at", "part")
-    return together.mapInArrow(run, SCHEMA)
+            grams, place, has = distinct_grams(tokens, starts, word_orders, ranges.bits)
+            levels = np.frombuffer(b"".join(data for at, _, _, data in own if at >= ranges.words), dtype=np.uint8)
+            if len(levels) != len(grams):
+                raise ValueError("answers do not belong to these n-grams")
+            scores = in_context(10.0 ** np.maximum(scores, -300), exact, starts, float(ends), typical_counts()[levels[place]], has)
+        base, seen, scores = (np.add.reduceat(t, starts) for t in (np.log10(exact + ADDED), (exact > 0).astype(np.int64), scores))
+        n_tokens = lengths + 1
+        columns = [texts["doc_id"].chunk(0), pa.array(n_tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(np.full(len(seen), total), pa.int64()), pa.array(base - n_tokens * smoothed), pa.array(scores)]
+        return pa.Table.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
+
+    n_pieces = max(n, -(-size // PIECE_BYTES))
+    piece = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_pieces)).cast("int")
+    # one exchange of the texts serves those who ask and those who are answered
+    dealt = rows.select(piece.alias("piece"), "doc_id", "held_out", "text").repartition(n, "piece")
+    asked = dealt.sortWithinPartitions("piece").mapInArrow(ask, MESSAGES)
+    together = found.union(asked).repartition(n, "at").sortWithinPartitions("at", "piece")
+    answers = together.mapInArrow(answer, MESSAGES)
+    return dealt.groupBy("piece").cogroup(answers.where("piece >= 0").groupBy("piece")).applyInArrow(scored, SCHEMA)
 
 
 def grams_total(known: DataFrame) -> int:
     """Predicted bytes of all different training words: each word's, and the space behind it."""
     return known.agg(F.sum(F.length("word") + 1)).first()[0] or 1
-
-
-def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.float64()] * 2
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
