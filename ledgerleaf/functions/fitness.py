@@ -32,10 +32,6 @@ def total(counts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, counts, F.lit(0.0))
 
 
-def number(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [c.cast("int") for c in conditions], F.lit(0))
-
-
 def labeling_entropy(smoothing: float = 1.0) -> Fitness:
     def part(side: Side) -> Column:
         # sum of c * ln((c + s) / whole), the logarithm of the whole taken once

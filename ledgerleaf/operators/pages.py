@@ -21,7 +21,7 @@ def inferred(pairs: DataFrame) -> DataFrame:
 
 def page(pairs: DataFrame, schema: DataFrame) -> DataFrame:
     """Items as maps of numbers and of strings by the inferred kinds."""
-    typed = pairs.join(F.broadcast(schema.select("field", "kind")), "field")
+    typed = pairs.join(schema.select("field", "kind"), "field")
 
     def of_kind(kind: str, value: Column) -> Column:
         return F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("field", value.alias("value"))))))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fitness import Fitness, Side, number
+from ..functions.fitness import Fitness, Side
 
 #: Labels are classes of a classifier, not data: more of them are an error.
 MOST_LABELS = 1000
 #: Parts of each factor of two in which a field's values make one range, where no borders are given.
 PARTS = 4
+SIDES = ("le", "gt", "ex")
 
 
 def labels_of(items: DataFrame, label: str) -> list[str]:
@@ -53,6 +56,32 @@ def columns(labels: list[str]) -> tuple[list[str], list[str], list[str]]:
     return tuple([f"{side}_{i}" for i in range(len(labels))] for side in ("le", "gt", "ex"))
 
 
+@lru_cache(64)
+def _sums(of_field: tuple[str, ...], n: int) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Of ``n`` labels' counts the sums over a field and over the ranges before one, and the running ones within a range.
+    They are the same at every level of a tree, whose levels would otherwise build them anew."""
+    every = Window.partitionBy(*of_field)
+    # NaN, whose range is null too, is below all others
+    before = every.orderBy(F.col("_missing").desc(), F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sums, there, missing = {}, "sum(if(_missing, 0, c{i}))", "sum(if(_missing, c{i}, 0))"
+    for i in range(n):
+        sums[f"ex_{i}"] = F.expr(missing.format(i=i)).over(every)
+        sums[f"_n_c{i}"] = F.expr(there.format(i=i)).over(every)
+        sums[f"_b_c{i}"] = F.coalesce(F.expr(there.format(i=i)).over(before), F.lit(0))
+    upto = Window.partitionBy(*of_field, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return sums, {f"_r_c{i}": F.sum(f"c{i}").over(upto) for i in range(n)}
+
+
+@lru_cache(64)
+def _fitness_columns(fitness: Fitness, n: int) -> tuple[dict[str, Column], Column]:
+    """Sums and numbers of labels of each side, and the fitness over them, for ``n`` labels."""
+    names = {s: [f"{s}_{i}" for i in range(n)] for s in SIDES}
+    listed = {"le": [f"{c} > 0" for c in names["le"]], "gt": [f"{a} + {b} > 0" for a, b in zip(names["le"], names["gt"])], "ex": [f"{c} > 0" for c in names["ex"]]}
+    sums = {f"n_{s}": F.expr(" + ".join(["0L", *names[s]])) for s in SIDES} | {f"_k_{s}": F.expr(" + ".join(["0", *[f"int({x})" for x in listed[s]]])) for s in SIDES}
+    sides = [Side([F.col(c).cast("double") for c in names[s]], F.col(f"n_{s}").cast("double"), F.col(f"_k_{s}")) for s in SIDES]
+    return sums, F.nanvl(fitness(*sides), F.lit(None).cast("double"))
+
+
 def candidates(
     items: DataFrame, label: str, features: list[str], keys: list[str] = (), labels: list[str] | None = None, borders: dict[str, list[float]] | None = None
 ) -> DataFrame:
@@ -68,17 +97,9 @@ def candidates(
     counted = unpivoted(items, keys, label, features).groupBy(*of_field, "v").agg(*[F.count_if(F.col("y") == y).alias(c) for c, y in zip(cs, labels)])
     cut = counted.withColumns({"_range": _range_of(features, borders), "_missing": F.col("v").isNull()})
     by_range = cut.groupBy(*of_field, "_range", "_missing").agg(*[F.sum(c).alias(c) for c in cs])
-    every = Window.partitionBy(*of_field)
-    # NaN, whose range is null too, is below all others
-    before = every.orderBy(F.col("_missing").desc(), F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = {}
-    for c, e in zip(cs, ex):
-        sums[e] = F.coalesce(F.sum(F.when(F.col("_missing"), F.col(c))).over(every), F.lit(0))
-        sums[f"_n_{c}"] = F.coalesce(F.sum(F.when(~F.col("_missing"), F.col(c))).over(every), F.lit(0))
-        sums[f"_b_{c}"] = F.coalesce(F.sum(F.when(~F.col("_missing"), F.col(c))).over(before), F.lit(0))
+    sums, inner = _sums(tuple(of_field), len(labels))
     carried = by_range.withColumns(sums).where("_range is not null").select(*of_field, "_range", *sums)
-    upto = Window.partitionBy(*of_field, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = cut.where("_range is not null").withColumns({f"_r_{c}": F.sum(c).over(upto) for c in cs})
+    inside = cut.where("_range is not null").withColumns(inner)
     same = [inside[k].eqNullSafe(carried[k]) for k in keys] + [inside["field"] == carried["field"], inside["_range"] == carried["_range"]]
     rows = inside.join(carried, same).select(*[inside[k] for k in of_field], "v", *[f"_r_{c}" for c in cs], *sums)
     below = [F.col(f"_r_{c}") + F.col(f"_b_{c}") for c in cs]
@@ -87,9 +108,6 @@ def candidates(
     return rows.where(several).select(*of_field, F.col("v").alias("threshold"), *sides, *ex)
 
 
-SIDES = ("le", "gt", "ex")
-
-
 def _columns_of(found: DataFrame, name: str) -> list[str]:
     return [c for c in found.columns if c.startswith(f"{name}_") and c[3:].isdigit()]
 
@@ -104,12 +122,8 @@ def with_fitness(found: DataFrame, fitness: Fitness) -> DataFrame:
 
     Sums come first, as columns of their own, so that the strategy's expression stays small however many labels there are.
     """
-    counts = {s: [F.col(c) for c in _columns_of(found, s)] for s in SIDES}
-    listed = {"le": [c > 0 for c in counts["le"]], "gt": [a + b > 0 for a, b in zip(counts["le"], counts["gt"])], "ex": [c > 0 for c in counts["ex"]]}
-    summed = found.withColumns({f"n_{s}": side(found, s) for s in SIDES} | {f"_k_{s}": number(listed[s]) for s in SIDES})
-    sides = [Side([c.cast("double") for c in counts[s]], F.col(f"n_{s}").cast("double"), F.col(f"_k_{s}")) for s in SIDES]
-    value = fitness(*sides)
-    return summed.withColumn("fitness", F.nanvl(value, F.lit(None).cast("double"))).drop(*[f"_k_{s}" for s in SIDES])
+    sums, value = _fitness_columns(fitness, len(_columns_of(found, "le")))
+    return found.withColumns(sums).withColumn("fitness", value).drop(*[f"_k_{s}" for s in SIDES])
 
 
 def scored(found: DataFrame, fitness: Fitness) -> DataFrame:

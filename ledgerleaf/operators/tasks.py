@@ -58,22 +58,25 @@ def statuses(tasks: DataFrame, edges: DataFrame, queued: DataFrame, alive: DataF
 def traces(tasks: DataFrame, edges: DataFrame, statuses: DataFrame, roots: DataFrame, most_depth: int = 64) -> DataFrame:
     """The trace of each root: (``root``, ``task``, ``depth``); below finished tasks nothing is shown.
 
-    A join for each level of the graph; the frontier is written between levels, so that plans stay short and a lost
-    executor costs one level.
+    Paths double in length with each join: those of the full length so far go on with all that begin where they end. What
+    each join finds is written, so that plans stay short and a lost executor costs one step.
     """
     from ..sources.tables import written
 
     open_ = statuses.where(~F.col("status").isin("Success", "Failed", "Ex_NotDefined")).select("task")
-    inner = edges.join(open_, "task", "left_semi")
-    level = written(roots.select(F.col("task").alias("root"), "task", F.lit(0).alias("depth")))
-    every = level
-    for depth in range(1, most_depth + 1):
-        below = level.join(inner, "task").select("root", F.col("trigger").alias("task"), F.lit(depth).alias("depth")).distinct()
-        level = written(below)
-        if level.isEmpty():
-            return every
-        every = every.union(level)
-    raise RuntimeError(f"a trace deeper than {most_depth}")
+    steps = edges.join(open_, "task", "left_semi").select(F.col("task").alias("root"), F.col("trigger").alias("task"), F.lit(1).alias("depth"))
+    every, reach = written(steps.distinct()), 1
+    while True:
+        onward = every.select(F.col("root").alias("task"), F.col("task").alias("_to"), F.col("depth").alias("_more"))
+        longer = every.where(F.col("depth") == reach).join(onward, "task").select("root", F.col("_to").alias("task"), (F.col("depth") + F.col("_more")).alias("depth"))
+        longer = written(longer.distinct())
+        if longer.isEmpty():
+            break
+        if longer.where(F.col("depth") > most_depth).limit(1).count():
+            raise RuntimeError(f"a trace deeper than {most_depth}")
+        every, reach = every.union(longer), 2 * reach
+    top = roots.select(F.col("task").alias("root"), "task", F.lit(0).alias("depth"))
+    return top.union(every.join(roots.select(F.col("task").alias("root")).distinct(), "root", "left_semi"))
 
 
 def histogram(statuses: DataFrame) -> DataFrame:

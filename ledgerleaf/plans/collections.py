@@ -128,7 +128,7 @@ def tsk17_status(spark, sf):
 
 def tsk17_trace(spark, sf):
     t, e, queued, alive = _graph(spark, sf)
-    return tsk.traces(t, e, tsk.statuses(t, e, queued, alive), t.where("task % 100 = 99").select("task"))
+    return tsk.traces(t, e, tsk.statuses(t, e, queued, alive), t.select("task"))
 
 
 def tsk18_running(spark, sf):
@@ -172,7 +172,7 @@ QUERIES = {
     "tsk14_runnable": (tsk14_runnable, f"WITH {T} SELECT DISTINCT e.task FROM e JOIN t ON t.task = e.trigger WHERE t.ok AND t.task % 10 = 3"),
     "tsk15_can_run": (tsk15_can_run, f"WITH {T} SELECT t.task, coalesce(bool_and(coalesce(p.ok OR p.bad, false)) FILTER (e.task IS NOT NULL), true) AS can_run, count(e.task) AS triggers FROM t LEFT JOIN e ON e.task = t.task LEFT JOIN t p ON p.task = e.trigger GROUP BY 1"),
     "tsk17_status": (tsk17_status, f"WITH {STATUS} SELECT task, status FROM st"),
-    "tsk17_trace": (tsk17_trace, f"""WITH RECURSIVE {STATUS}, r AS (SELECT task AS root, task, 0 AS depth FROM t WHERE task % 100 = 99
+    "tsk17_trace": (tsk17_trace, f"""WITH RECURSIVE {STATUS}, r AS (SELECT task AS root, task, 0 AS depth FROM t
   UNION ALL SELECT r.root, e.trigger, r.depth + 1 FROM r JOIN st ON st.task = r.task AND st.status NOT IN ('Success', 'Failed', 'Ex_NotDefined') JOIN e ON e.task = r.task) SELECT root, task, depth FROM r"""),
     "tsk18_running": (tsk18_running, """WITH r AS (SELECT l_suppkey AS executor, CASE WHEN l_linenumber > 2 THEN l_orderkey % 1000 + 30 * l_linenumber END AS completed FROM lineitem WHERE l_orderkey % 1000 <= 500)
   SELECT executor, count(*) FILTER (completed IS NULL OR completed > 500) AS running, count(*) FILTER (completed IS NULL OR completed > 500 OR 500 - completed <= 40) AS listed FROM r GROUP BY 1 HAVING listed > 0"""),
