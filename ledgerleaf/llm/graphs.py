@@ -32,4 +32,5 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = state
     else:
         raise RuntimeError("components have not settled")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

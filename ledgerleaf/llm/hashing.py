@@ -59,6 +59,34 @@ def row_runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         a = b
 
 
+#: Bytes of words, between ASCII white space, and their lower case.
+IN_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
+LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
+
+
+def word_borders(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end in texts one after another, with borders at ``edges``."""
+    inside = IN_WORD[raw]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    inner = edges[1:-1]
+    at = inner[inner < len(raw)]
+    first[at] = inside[at]
+    at = inner[inner > 0] - 1
+    last[at] = inside[at]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_parts(raw: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A run and its borders, or one long text in parts that begin with a space."""
+    if len(edges) == 2 and len(raw) > RUN_BYTES:
+        for part in long_parts(raw, lambda p: ~IN_WORD[p]):
+            yield part, np.array([0, len(part)])
+    else:
+        yield raw, edges
+
+
 def long_parts(raw: np.ndarray, may_cut: Callable[[np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
     """One long text in parts of about ``RUN_BYTES``. ``may_cut`` marks, for bytes of it, those that a part may start with;
     the first byte it sees is not asked for."""

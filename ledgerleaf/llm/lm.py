@@ -34,11 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, ship, stored, text_bytes
-from .hashing import RUN_BYTES, StretchHasher, long_parts, row_runs
+from .hashing import LOWER, StretchHasher, row_runs, word_borders, word_parts
 
 U = np.uint64
-LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
-IN_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 #: No word holds a space: this one stands for the end of a text.
 END, END_KEY = b" end", U(0x3C6EF372FE94F82B)
 #: Levels of counts grow by this factor; bits of a page and of an entry; probes of an entry.
@@ -88,20 +86,9 @@ def tokenized(column: pa.Array, hasher: StretchHasher) -> Iterator[tuple[int, in
     """For runs of rows of UTF-8 bytes: first row, row behind the last, lower-cased bytes, where words start and end, their
     keys, and the number of each row's words."""
     for a, b, raw, edges in row_runs(column):
-        parts = long_parts(raw, lambda part: ~IN_WORD[part]) if b == a + 1 and len(raw) > RUN_BYTES else [raw]
         at, found = 0, []
-        for part in parts:
-            inside = IN_WORD[part]
-            first, last = inside.copy(), inside.copy()
-            first[1:] &= ~inside[:-1]
-            last[:-1] &= ~inside[1:]
-            if isinstance(parts, list):
-                inner = edges[1:-1]
-                here = inner[inner < len(part)]
-                first[here] = inside[here]
-                here = inner[inner > 0] - 1
-                last[here] = inside[here]
-            starts, ends, low = np.flatnonzero(first), np.flatnonzero(last) + 1, LOWER[part]
+        for part, borders in word_parts(raw, edges):
+            (starts, ends), low = word_borders(part, borders), LOWER[part]
             found.append((low, starts + at, ends + at, hasher.of(low, starts, ends)))
             at += len(part)
         low, starts, ends, keys = (np.concatenate(x) for x in zip(*found))
