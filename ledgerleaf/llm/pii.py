@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import salted_join, ship, stored, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rows with discovered spans that are sent to all workers; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 17
+#: Discovered spans, of two numbers and a kind, that are sent to all workers (some 30 MB); more are joined by a shuffle.
+BROADCAST_SPANS = 1 << 19
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Fixed patterns of the base spans. A match starts where a run of its first class starts, or where the last one ended.
 PATTERNS = {
@@ -215,7 +215,8 @@ def _with_discovered(rows: DataFrame, seeds: int, rounds: int, confidence: float
     found = stored(hits.groupBy("row").agg(F.collect_set(F.struct("start", "end", "kind")).alias("new")), "pii-new")
     span = "array<struct<start:bigint,end:bigint>>"
     # few rows have discovered spans: up to a bound they go to all workers, and texts stay where they are
-    joined = rows.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "row", "left")
+    n_spans = found.agg(F.sum(F.size("new"))).first()[0] or 0
+    joined = rows.join(F.broadcast(found) if n_spans <= BROADCAST_SPANS else found, "row", "left")
 
     def plain(spans: Column) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))

@@ -10,7 +10,8 @@ the curve; of a text longer than ``longest`` bytes stretches at even distances,
 every text whole. Class shares come from all labels.
 
 Defined cases: a null or empty text has a score like any other (difference 0); without labels of both classes the score
-is the share of good labels, or 0.5 without any; repeated texts score alike; an empty table gives no rows; other columns
+is the share of good labels, or 0.5 without any; repeated texts score alike; a text without
+an id is scored and never learned from; an empty table gives no rows; other columns
 are ignored.
 """
 

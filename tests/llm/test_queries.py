@@ -26,6 +26,55 @@ def test_empty_tables(spark, empty_dir, name):
     assert result(spark, name, empty_dir) == []
 
 
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_sql(spark, name):
+    from pathlib import Path
+
+    import duckdb
+
+    c = duckdb.connect()
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    want = c.sql(Q.ORACLE_SQL[name])
+    got = Q.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r[k] for k in want.columns) for r in got.collect()) == sorted(want.fetchall())
+
+
+@pytest.fixture(scope="module")
+def odd_ids(spark, tmp_path_factory):
+    """Rows without an id, rows that repeat one with the same and with another text, and one of megabytes."""
+    at = tmp_path_factory.mktemp("ids")
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet").select(["doc_id", "text"]).slice(0, 40).to_pylist()
+    texts = [d["text"] for d in docs]
+    docs += [{"doc_id": None, "text": t} for t in (texts[0], texts[0], texts[1] + " and more", None)]
+    docs += [{"doc_id": 3, "text": texts[3]}, {"doc_id": 3, "text": texts[4]}, {"doc_id": 9000, "text": "a long text of many words " * 60_000 + "x" * 300_000}]
+    spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string").coalesce(1).write.parquet(f"{at}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{at}/{name}.parquet")
+    return str(at), docs
+
+
+@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+def test_null_and_repeated_ids(spark, odd_ids, name):
+    at, docs = odd_ids
+    rows = result(spark, name, at)
+    if name == "op2_packing":
+        rows = [r for r in rows if r["start"] == 0]
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(d["doc_id"]) for d in docs)
+    if name == "op9_jaccard":
+        # rows are nodes, and the least id names them
+        sets = [shingle_set(d["text"] or "", 3) for d in docs]
+        comp = list(range(len(docs)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and 100 * len(a & b) >= 90 * len(a | b) and comp[i] != comp[j]:
+                    comp = [comp[j] if c == comp[i] else c for c in comp]
+        ids = {c: min((d["doc_id"] for d, x in zip(docs, comp) if x == c and d["doc_id"] is not None), default=None) for c in comp}
+        want = sorted((str(d["doc_id"]), len(s), str(ids[c])) for d, s, c in zip(docs, sets, comp))
+        assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == want
+
+
 def luhn(digits):
     return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
 
