@@ -1,14 +1,15 @@
 """A training corpus from raw documents, stage by stage; each stage's result is written as Parquet and read again.
 
 quality      documents that the quality classifier rejects go
-near_copies  of each component of near copies (five-word shingles, similarity 0.8 or more) the document of the least id stays
+near_copies  of each component of near copies (five-word shingles, similarity 0.8 or more) the document of the least id
+             stays; where several rows have that id, one of them
 benchmark    documents that hold a window of ten consecutive words of a benchmark item, or a whole shorter item, go
 pii          personal data, base and discovered spans, is replaced by a mark of its kind
 packing      the texts' token ids are packed into windows: a row for each piece, with its ids
 
 The first four return the columns of ``documents``; ``n_chars`` follows the text.
 
-Rows with a null id are kept by every decision that needs an id to look a document up: nothing can name them.
+Rows with a null or repeated id are documents like any other: no decision looks a document up by its id alone.
 """
 
 from __future__ import annotations
@@ -27,10 +28,6 @@ LEAST_QUALITY = 0.3
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), training)
@@ -38,8 +35,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    members = jaccard.linked_components(docs, width=5, num=80)
-    return _without(docs, stored(members.where("component_id <> doc_id").select("doc_id"), "copies"))
+    # rows get numbers that are written with them
+    numbered = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    members = jaccard.linked_components(numbered, width=5, num=80, row_col="row")
+    gone = stored(members.where("not first").select("row"), "copies")
+    return numbered.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
