@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows of a batch that goes to a Python worker, where the session has no number of its own: texts are long.
+BATCH_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, wherever the driver was started."""
+    """Let Python workers import this package, wherever the driver was started, and get texts in small batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
