@@ -359,9 +359,10 @@ def cell_members(classes: DataFrame, num: int, den: int) -> DataFrame:
     keys = prefix.groupBy("key").agg(F.count("cid").alias("size"), F.min("both").alias("least"), F.max("both").alias("most"))
     pair = (size_of("most") <= reach_of("least")) & (size_of("least") <= reach_of("most"))
     keys = keys.where((F.col("size") > 2) | (F.col("size") == 2) & pair).select("key")
-    near = prefix.join(keys.hint("shuffle_hash"), "key").select("key", "cid", size_of("both").alias("n"), reach_of("both").alias("reach"))
+    # all below stays with the key, in the tasks of that one exchange, but for telling apart what members cells have
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) if num < den else F.col("n")).cast("int")
-    near = stored(near.withColumn("step", step), "near")
+    near = prefix.join(keys.hint("shuffle_hash"), "key").select("key", "cid", size_of("both").alias("n"), reach_of("both").alias("reach"))
+    near = near.withColumn("step", step)
     # a cell's members are told by their number and the sum of their hashes; of cells with the same members one is kept
     mark = F.sum(F.xxhash64("cid").cast("decimal(20,0)"))
     steps = near.groupBy("key", "step").agg(
@@ -371,11 +372,11 @@ def cell_members(classes: DataFrame, num: int, den: int) -> DataFrame:
     so_far = F.max("reach").over(upward.rowsBetween(Window.unboundedPreceding, -1))
     steps = steps.withColumn("cut", F.coalesce(F.col("least") > so_far, F.lit(True)))
     steps = steps.withColumn("from", F.max(F.when(F.col("cut"), F.col("step"))).over(upward))
-    steps = stored(steps.withColumn("below", F.when(~F.col("cut"), F.lag("hub").over(upward))), "steps")
-    cells = steps.groupBy("key", "from").agg(F.sum("size").alias("size"), F.sum("mark").alias("mark"), F.min("hub").alias("least")).where("size > 1")
-    cells = cells.groupBy("size", "mark", "least").agg(F.min(F.struct("key", "from")).alias("at")).select("at.*", F.col("least").alias("least_cid"))
-    chosen = stored(steps.join(cells, ["key", "from"]).select("key", "step", "least_cid", "hub", "below"), "cells")
-    return _checked_join(near, chosen, ["key", "step"]).select(F.col("least_cid").alias("key"), "cid", "n", "hub", "below")
+    steps = steps.withColumn("below", F.when(~F.col("cut"), F.lag("hub").over(upward))).select("key", "step", "from", "size", "mark", "hub", "below")
+    cells = steps.groupBy("key", "from").agg(F.sum("size").alias("size"), F.sum("mark").alias("mark"), F.min("hub").alias("least_cid")).where("size > 1")
+    cells = cells.groupBy("size", "mark", "least_cid").agg(F.min(F.struct("key", "from")).alias("at")).select(F.col("at.key").alias("key"), F.col("at.from").alias("_from"), "least_cid")
+    chosen = steps.join(cells, "key").where(F.col("from") == F.col("_from")).select("key", F.col("step").alias("_step"), "least_cid", "hub", "below")
+    return near.join(chosen, "key").where(F.col("step") == F.col("_step")).select(F.col("least_cid").alias("key"), "cid", "n", "hub", "below")
 
 
 def leader_pairs(members: DataFrame) -> DataFrame:
