@@ -127,16 +127,18 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Every document with its tree, the tree of its edited text and the fingerprint of the next document.
 
     Texts move once: the exchange by id serves both the join that hands each document's beginning to the one before it
-    and the join that receives it.
+    and the join that receives it. Trees are built behind it, once for each of the two, as they are larger to move than
+    to build.
     """
-    rows = fingerprints(docs, id_col, text_col).select("doc_id", "text", *NODES)
-    pairs = neighbours(rows.select("doc_id", "text"), "doc_id")
+    ship(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), whole_text(text_col).alias("text"))
+    pairs = neighbours(rows, "doc_id")
     taken = pairs.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("n") / 4).cast("int").alias("take"))
-    handed = rows.join(taken, "doc_id").select(
+    handed = with_tree(rows.join(taken, "doc_id"), "text").select(
         F.col("before").alias("doc_id"), F.struct(F.substring(F.col("text"), F.lit(1), F.col("take")).alias("start"), *NODES).alias("next")
     )
     handed = handed.groupBy("doc_id").agg(F.min("next").alias("next"))
-    joined = rows.join(handed, "doc_id").select(
+    joined = with_tree(rows.join(handed, "doc_id"), "text").select(
         "doc_id", "text", *NODES, F.col("next.start").alias("start"), *[F.col(f"next.{c}").alias(f"next_{c}") for c in NODES]
     )
     n = F.length("text")
