@@ -62,16 +62,19 @@ def linear_entropy(smoothing: float = 1.0, weights: tuple[float, float, float] =
     if not any(weights):
         raise ValueError("all weights are zero")
 
+    def term(t: Column) -> Column:
+        x, y = t["count"] / t["n"], t["label"] * t["side"] / (t["n"] * t["n"])
+        s = smoothing / t["n"]
+        return weights[0] * x * F.log(s + x) + weights[1] * x * F.log(s + y) + weights[2] * y * F.log(s + x)
+
     def fitness(le: Side, gt: Side, ex: Side) -> Column:
         labels = [a + b + c for a, b, c in zip(le.counts, gt.counts, ex.counts)]
         n = le.total + gt.total + ex.total
-        s, out = smoothing / n, F.lit(0.0)
-        for side in (le, gt, ex):
-            for count, label in zip(side.counts, labels):
-                x, y = count / n, label * side.total / (n * n)
-                term = weights[0] * x * F.log(s + x) + weights[1] * x * F.log(s + y) + weights[2] * y * F.log(s + x)
-                # a label that the field lacks adds nothing
-                out = out + F.when(label > 0, term).otherwise(0.0)
+        # one term's expression for all sides and labels: written out for each, it outgrows what can be compiled
+        parts = [(count, label, side.total, n) for side in (le, gt, ex) for count, label in zip(side.counts, labels)]
+        terms = F.array(*[F.struct(*[c.alias(k) for c, k in zip(part, ("count", "label", "side", "n"))]) for part in parts])
+        # a label that the field lacks adds nothing
+        out = F.aggregate(terms, F.lit(0.0), lambda sum_, t: sum_ + F.when(t["label"] > 0, term(t)).otherwise(0.0))
         return F.when((le.total > 0) & (gt.total > 0), out)
 
     return fitness
