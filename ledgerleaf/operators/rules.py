@@ -127,8 +127,14 @@ def with_fitness(found: DataFrame, fitness: Fitness) -> DataFrame:
 
 
 def scored(found: DataFrame, fitness: Fitness) -> DataFrame:
-    """Candidates with their fitness, those without one left out."""
-    return with_fitness(found, fitness).where("fitness is not null")
+    """Candidates with their fitness, those without one left out.
+
+    A filter would carry the strategy's expression, with all that it is made of, down to the join below; a row for each
+    fitness that is there leaves it where it is.
+    """
+    valued = with_fitness(found, fitness)
+    there = F.explode(F.filter(F.array("fitness"), lambda f: f.isNotNull())).alias("fitness")
+    return valued.select(*[c for c in valued.columns if c != "fitness"], there)
 
 
 def best(found: DataFrame, keys: list[str] = (), fitness: Fitness | None = None) -> DataFrame:

@@ -313,3 +313,21 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = rul1_best_rule(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double,l_extendedprice:double,l_discount:double,l_tax:double,l_returnflag:string>" in plan.replace("...", "")
     assert "Python" not in plan
+
+
+def test_a_mixed_fitness_stays_small_in_its_plan(spark, sf_dir):
+    import math
+
+    from ledgerleaf.functions.fitness import linear_entropy
+    from ledgerleaf.plans.trees import FEATURES, items
+
+    found = rules.scored(rules.candidates(items(spark, sf_dir), "l_returnflag", FEATURES), linear_entropy())
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert max(map(len, plan)) < 6000
+    r = found.where("n_ex > 0").orderBy("threshold").first()
+    n, s, want = r.n_le + r.n_gt + r.n_ex, 1 / (r.n_le + r.n_gt + r.n_ex), 0.0
+    for side in ("le", "gt", "ex"):
+        for i in range(3):
+            x, y = r[f"{side}_{i}"] / n, sum(r[f"{k}_{i}"] for k in ("le", "gt", "ex")) * r[f"n_{side}"] / (n * n)
+            want += -0.1 * x * math.log(s + x) + x * math.log(s + y) - y * math.log(s + x)
+    assert abs(r.fitness - want) < 1e-12
