@@ -11,7 +11,9 @@ classes so found against one class of another; these rounds have no more pairs t
 are one, and those of several components get signature trees: entries are bitmaps of the sets' elements; a node holds the OR of its children's bitmaps, the range
 of their sizes and their component. Two trees, or one with itself, are traversed together from the roots: a pair of nodes
 is left as soon as the bits that both have, and so the largest overlap below them, or their sizes, or their one component
-allow no new link. Pairs of entries that may be linked are verified on the sets themselves, whose texts are read again.
+allow no new link. Pairs of entries that may be linked are verified on the sets themselves, whose texts are read again. Of
+two blocks with more such pairs than a few for each entry no pairs are written: the entries' sets come to their trees, which
+verify while they are traversed, leave pairs that earlier links connect, and give a link less than components at most.
 
 No cell becomes one task's burden and no group is expanded into all its pairs: the largest component of a cell is not
 compared with itself, and cells are dealt block by block. Keys travel through cells, bitmaps only through those still open.
@@ -45,6 +47,8 @@ FREQUENT = 64
 WORD_SHARE, WORD_LEAST = 1 << 18, 16
 #: Entries of a block, and children of a node of its tree.
 BLOCK, FANOUT = 512, 8
+#: Pairs that may be linked, for each entry that has one, up to which two blocks write pairs.
+SPARSE = 2
 #: Tables of at most so many rows of a few numbers (some 20 MB) are sent to all workers; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 #: Items of a worker's count.
@@ -408,8 +412,27 @@ def open_members(members: DataFrame, found: DataFrame) -> DataFrame:
     return _checked_join(with_comp, stored(cells, "open"), ["key"])
 
 
-def remaining_pairs(members: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of different components in a cell that may be linked, by signature trees, block by block."""
+TASK = ["key", "kind", "x", "y"]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), *TASK).sortWithinPartitions(*TASK)
+
+
+def _tree_pairs(entries: list[tuple], one: bool, num: int, den: int) -> Iterator[tuple[tuple, tuple]]:
+    """Of the entries of two blocks (``left``, ``comp``, ``n``, ``lead``, ``bitmap``, more), or of ``one`` with itself, those
+    of different components that may be linked."""
+    sides = [[e for e in entries if e[0]], [e for e in entries if not e[0]]]
+    trees = [SignatureTree([e[2] for e in s], [e[1] for e in s], [e[3] for e in s], [e[4] for e in s], num, den) for s in sides]
+    for i, j in trees[0].pairs(trees[0] if one else trees[1]):
+        p, q = sides[0][i], sides[0 if one else 1][j]
+        if p[1] != q[1]:
+            yield p, q
+
+
+def remaining_pairs(members: DataFrame, bitmaps: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """All pairs of different components in a cell that may be linked, by signature trees, block by block; and for two
+    blocks with many of them only the entries that have one (``TASK``, ``left``, ``cid``, ``comp``)."""
     by_comp = members.groupBy("key", "comp").agg(F.count("*").alias("k"))
     cells = by_comp.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("major"), F.sum("k").alias("size"))
     cells = cells.select("key", F.col("major.comp").alias("major"), F.ceil(F.col("major.k") / BLOCK).alias("majors"), F.ceil((F.col("size") - F.col("major.k")) / BLOCK).alias("minors"))
@@ -428,22 +451,68 @@ def remaining_pairs(members: DataFrame, bitmaps: DataFrame, num: int, den: int)
     dealt = rows.select("key", "cid", "n", "comp", F.inline(tasks)).join(bitmaps.select("cid", "lead", "bitmap"), "cid")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for (_, kind, x, y), group in groupby(_rows(batches), key=lambda r: r[:4]):
-            entries = list(group)
-            sides = [[e for e in entries if e[4]], [e for e in entries if not e[4]]]
-            trees = [SignatureTree([e[6] for e in s], [e[7] for e in s], [e[8] for e in s], [e[9] for e in s], num, den) for s in sides]
-            one = kind == 0 and x == y
-            for i, j in trees[0].pairs(trees[0] if one else trees[1]):
-                p, q = sides[0][i], sides[0][j] if one else sides[1][j]
-                if p[7] != q[7]:
+        for at, group in groupby(_rows(batches), key=lambda r: r[:4]):
+            entries = [r[4:] for r in group]
+            few, some = [], {}
+            for p, q in _tree_pairs(entries, at[1] == 0 and at[2] == at[3], num, den):
+                if len(few) <= SPARSE * len(entries):
+                    few.append((p[5], q[5]))
+                some[p[0], p[5]], some[q[0], q[5]] = p[1], q[1]
+            if len(few) <= SPARSE * len(some):
+                yield from ((p, q, *[None] * 6) for p, q in few)
+            else:
+                yield from ((cid, None, *at, left, comp) for (left, cid), comp in some.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(pairs(batches), [*PAIR, *TASK, "left", "comp"], [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.bool_(), pa.int64()])
+
+    found = _dealt(dealt).select(*TASK, "left", "comp", "n", "lead", "bitmap", "cid")
+    found = stored(found.mapInArrow(run, "a long, b long, key long, kind int, x long, y long, left boolean, comp long"), "found")
+    return found.where("key is null").select(*PAIR), found.where("key is not null").select(*TASK, "left", F.col("a").alias("cid"), "comp")
+
+
+def verified_together(entries: DataFrame, texts: DataFrame, places: DataFrame, width: int, num: int, den: int, order) -> DataFrame:
+    """Links among the entries of each two blocks (``TASK``, ``left``, ``cid``, ``comp``) that connect all components which
+    any of their links connect. An entry's set travels once to each task."""
+    ends = stored(entries.join(places, "cid"), "ends")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, kinds = WordHasher(), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+        for batch in batches:
+            for a, b, h, counts in hasher.runs(batch.column(0)):
+                rows = zip(zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(1, 8))), element_sets(h, counts, width, order.value))
+                # a row that only seems to be the class's, by its hash, is left out
+                found = ((*r, s.tobytes()) for r, s in rows if len(s) and class_of(s) == r[6])
+                yield from _batches(found, [*TASK, "left", "comp", "cid", "data"], kinds, 512)
+
+    sent = _checked_join(texts.select("at", "text"), ends, ["at"]).select("text", *TASK, "left", "comp", "cid")
+    sent = sent.mapInArrow(sets, "key long, kind int, x long, y long, left boolean, comp long, cid long, data binary")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for at, group in groupby(_rows(batches), key=lambda r: r[:4]):
+            own = {r[4:7]: np.frombuffer(r[7], dtype=U) for r in group}
+            entries = [(left, comp, len(s), int(s[0]), bitmap(s), cid, s) for (left, comp, cid), s in own.items()]
+            above: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (up := above.get(c, c)) != c:
+                    above[c] = c = above.get(up, up)
+                return c
+
+            for p, q in _tree_pairs(entries, at[1] == 0 and at[2] == at[3], num, den):
+                if (u := root(p[1])) != (v := root(q[1])) and _overlap_links(p[2], p[6], q[2], q[6], num, den):
+                    above[u] = v
                     yield p[5], q[5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(pairs(batches), PAIR, [pa.int64()] * 2)
+        return _batches(links(batches), PAIR, [pa.int64()] * 2)
 
-    n = partitions(members.sparkSession)
-    dealt = dealt.repartition(n, "key", "kind", "x", "y").sortWithinPartitions("key", "kind", "x", "y")
-    return dealt.select("key", "kind", "x", "y", "left", "cid", "n", "comp", "lead", "bitmap").mapInArrow(run, "a long, b long")
+    return _dealt(sent).select(*TASK, "left", "comp", "cid", "data").mapInArrow(run, "a long, b long")
+
+
+def _overlap_links(a: int, p: np.ndarray, b: int, q: np.ndarray, num: int, den: int) -> bool:
+    shared = a - int(np.setdiff1d(p, q, assume_unique=True).size)
+    return den * shared >= num * (a + b - shared)
 
 
 def bundled(pairs: DataFrame) -> DataFrame:
@@ -508,9 +577,7 @@ def verified(pairs: DataFrame, texts: DataFrame, places: DataFrame, width: int,
     sent = sent.mapInArrow(sets, "a long, bundle long, b long, n long, data binary")
 
     def linked(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray]) -> bool:
-        (a, p), (b, q) = x, y
-        shared = a - int(np.setdiff1d(p, q, assume_unique=True).size)
-        return den * shared >= num * (a + b - shared)
+        return _overlap_links(*x, *y, num, den)
 
     return tested(sent, linked)
 
@@ -548,7 +615,8 @@ def linked_components(
     members = stored(open_members(members.select("key", "cid", "n").distinct(), components(links)), "open-members")
     links = links.union(checked(bridging_pairs(members)))
     members = stored(open_members(members.drop("comp", "several"), components(links)), "open-members")
-    links = links.union(checked(remaining_pairs(members, bitmaps, num, den)))
+    pairs, together = remaining_pairs(members, bitmaps, num, den)
+    links = links.union(checked(pairs)).union(stored(verified_together(together, texts, places, width, num, den, order), "links"))
     found = components(links).select(F.col("node").alias("cid"), "component")
     # only classes of several rows or with links have another component than their row's own id
     lookup = classes.select("cid", "name", "copies").join(found, "cid", "left").where("copies > 1 or component is not null")

@@ -393,6 +393,32 @@ def test_op9_chains_and_large_cells(spark, monkeypatch):
         assert got == want
 
 
+def test_op9_a_dense_group_does_not_become_all_its_pairs(spark, monkeypatch):
+    import random
+
+    from ledgerleaf.llm import jaccard
+
+    rng, pairs = random.Random(9), []
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for serial in range(400):
+        edited = list(base)
+        for at in rng.sample(range(5, 145, 10), 3):
+            edited[at] = f"x{at}-{rng.randrange(3)}"
+        texts[serial] = " ".join(edited)
+    whole = jaccard.bundled
+
+    def counted(rows):
+        pairs.append(rows.count())
+        return whole(rows)
+
+    monkeypatch.setattr(jaccard, "bundled", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(docs, 3, 90).collect()}
+    assert got == brute_components(texts, 3, 90)
+    assert max(pairs) <= 3 * len(texts), pairs
+
+
 def test_op6(spark, hard_dir, texts):
     import math
     from collections import Counter
