@@ -331,3 +331,10 @@ def test_a_mixed_fitness_stays_small_in_its_plan(spark, sf_dir):
             x, y = r[f"{side}_{i}"] / n, sum(r[f"{k}_{i}"] for k in ("le", "gt", "ex")) * r[f"n_{side}"] / (n * n)
             want += -0.1 * x * math.log(s + x) + x * math.log(s + y) - y * math.log(s + x)
     assert abs(r.fitness - want) < 1e-12
+
+
+def test_the_best_mix_stays_small_in_its_plan(spark, sf_dir):
+    from ledgerleaf.plans.trees import rul7_best_mix
+
+    plan = rul7_best_mix(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert max(map(len, plan)) < 6000
