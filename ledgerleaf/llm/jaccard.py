@@ -518,8 +518,9 @@ def _overlap_links(a: int, p: np.ndarray, b: int, q: np.ndarray, num: int, den:
 def bundled(pairs: DataFrame) -> DataFrame:
     """``cid`` of either end of each pair with where its data has to go: ``a`` and ``bundle``, of up to some hundred
     partners of one class, and ``b``, null for the first end, which goes once to each bundle."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("bundles"))
-    dealt = salted_join(pairs, counts, ["a"], F.col("b")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("bundles")).alias("bundle"))
+    # of classes with several bundles there is at most one for every BLOCK pairs
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("bundles")).where("bundles > 1")
+    dealt = pairs.join(F.broadcast(counts), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("bundles", F.lit(1).cast("long"))).alias("bundle"))
     none = F.lit(None).cast("long").alias("b")
     return dealt.select(F.col("a").alias("cid"), "a", "bundle", none).distinct().union(dealt.select(F.col("b").alias("cid"), "a", "bundle", "b"))
 

@@ -614,3 +614,33 @@ def test_op1_kinds_of_candidates_and_patterns_of_discovered_strings(spark):
     assert found(102, "email") == ["admin@localhost"] and found(103, "email") == [long]
     assert found(304, "email") == ["other7.example"]
     assert not any(got[d][f"{k}_all"] for d in (400, 401) for k in ("email", "ip", "card", "phone"))
+
+
+def test_components_take_no_rounds_for_stars_and_few_for_paths(spark, monkeypatch):
+    import random
+
+    from ledgerleaf.llm import graphs
+
+    written, whole = [], graphs.stored
+
+    def counted(df, label):
+        written.append(label)
+        return whole(df, label)
+
+    monkeypatch.setattr(graphs, "stored", counted)
+    rng = random.Random(4)
+    stars = [(c, c + i) for c in range(0, 300, 30) for i in range(1, 9)]
+    path = [(1000 + i, 1001 + i) for i in range(40)]
+    mixed = [(2000 + rng.randrange(80), 2000 + rng.randrange(80)) for _ in range(60)]
+    for links, most in ((stars + stars[:5], 0), ([], 0), (stars + path + mixed, 6)):
+        least = {n: n for pair in links if pair[0] != pair[1] for n in pair}
+        for _ in range(len(least)):
+            for a, b in links:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        for few in (graphs.FEW, 0):
+            monkeypatch.setattr(graphs, "FEW", few)
+            written.clear()
+            got = graphs.components(spark.createDataFrame(links, "a long, b long")).collect()
+            assert {r.node: r.component for r in got} == least and len(got) == len(least), few
+            assert len(written) <= most, written
