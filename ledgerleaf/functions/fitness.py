@@ -2,7 +2,7 @@
 
 Each function takes the three sides and is plain arithmetic over their columns. Labels that a side lacks have a zero
 there. Of ``le`` and ``ex`` a zero doesn't count as a label of that side; of ``gt`` it does if ``le`` has the label. Null
-stands for minus infinity: the rule is no candidate.
+stands for minus infinity: the rule is no candidate. A fitness with an attribute ``counted`` can be had from arrays too.
 """
 
 import math
@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +44,22 @@ def labeling_entropy(smoothing: float = 1.0) -> Fitness:
         enough = (le.total > LEAST_SIDE * full) & (gt.total > LEAST_SIDE * full)
         return F.when(enough, (part(le) + part(gt) + part(ex)) / (full * math.log(2)))
 
+    def counted(le: np.ndarray, gt: np.ndarray, ex: np.ndarray) -> np.ndarray:
+        """The same for arrays of counts, a row for each label and a column for each candidate; NaN is none."""
+
+        def part(counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+            c, whole = counts.astype(np.float64), counts.sum(axis=0).astype(np.float64)
+            own = np.zeros(c.shape[1])
+            for of_label in c:
+                own += np.where(of_label > 0, of_label * np.log(np.where(of_label > 0, of_label + smoothing, 1.0)), 0.0)
+            return own - np.where(whole > 0, whole * np.log(np.where(whole > 0, whole + smoothing * labels, 1.0)), 0.0)
+
+        below, above, without = (c.sum(axis=0).astype(np.float64) for c in (le, gt, ex))
+        full = below + above + without
+        value = (part(le, (le > 0).sum(axis=0)) + part(gt, (le + gt > 0).sum(axis=0)) + part(ex, (ex > 0).sum(axis=0))) / (full * math.log(2))
+        return np.where((below > LEAST_SIDE * full) & (above > LEAST_SIDE * full), value, np.nan)
+
+    fitness.counted = counted
     return fitness
 
 

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fitness import Fitness, labeling_entropy
-from ..sources.tables import written
-from . import rules
+from ..sources.tables import ship, written
+from . import rules, subtrees
 from .ordered import global_rank
 
 #: A ternary tree of this depth still has its ids within 63 bits.
@@ -105,6 +107,9 @@ def grow(
     """Nodes and members of a tree over the items; two jobs for each level, over all its open nodes at once: one counts
     and chooses rules, one moves the items of those nodes that go on. Others are left where they are written.
 
+    Nodes of few values (``subtrees.VALUES``) are not carried through levels: each is one group of a last job, which grows
+    its subtree, if the strategy's fitness can be had from arrays.
+
     A node whose rule would leave a side empty stays a leaf. Only the root is split whatever its size. A rule's counts
     tell its children's sizes. ``borders``, as ``rules.borders_of`` gives them, deal fields of very many values evenly.
     """
@@ -112,43 +117,94 @@ def grow(
         raise ValueError(f"deeper than {MOST_DEPTH}")
     labels = rules.labels_of(items, label)
     active = written(items.withColumn(node_col, F.lit(1).cast("long")))
-    at_rest, levels = [], []
+    at_rest, levels, small = [], [], []
     sizes = written(active.groupBy(node_col).agg(F.count("*").alias("n")))
-    for level in range(strategy.max_depth):
+    fits = subtrees.VALUES // max(len(features), len(labels), 1) if hasattr(strategy.fitness, "counted") and labels else 0
+    whole = sizes.first()
+    apart = bool(whole and strategy.max_depth and whole.n <= fits)
+    if apart:
+        small.append(active.withColumn("_n", F.lit(whole.n)))
+        active = active.limit(0)
+    for level in range(0 if apart else strategy.max_depth):
         found = rules.best(rules.candidates(active, label, features, [node_col], labels, borders), [node_col], strategy.fitness)
         chosen = rules.admitted(found, F.lit(level), strategy.max_depth, strategy.force_depth, strategy.min_entropy)
         chosen = chosen.where("n_le > 0 and n_gt > 0").withColumn("depth", F.lit(level)).join(sizes, node_col)
         born = {0: F.col("n_gt"), 1: F.col("n_le"), 2: F.col("n") - F.col("n_gt") - F.col("n_le")}
         goes_on = F.array(*[born[b] > strategy.branch_threshold for b in born])
-        chosen = written(chosen.withColumns({"born": F.array(*born.values()), "goes_on": goes_on}))
-        counts = chosen.agg(F.count("*").alias("rules"), F.count_if(F.array_contains("goes_on", True)).alias("open")).first()
+        chosen = written(chosen.withColumns({"born": F.array(*born.values()), "goes_on": goes_on, "large": F.array(*[born[b] > fits for b in born])}))
+        counts = chosen.agg(F.count("*").alias("rules"), F.count_if(F.array_contains("goes_on", True)).alias("open"), F.count_if(F.exists(F.arrays_zip("goes_on", "large"), lambda b: b["goes_on"] & b["large"])).alias("large")).first()
         if not counts.rules:
             break
         levels.append(chosen)
-        joined = _branched(active, chosen.select(node_col, "field", "threshold", "goes_on"), features, node_col)
-        moved = joined.withColumn("_on", F.coalesce(F.get("goes_on", F.col("_bit")), F.lit(False)))
-        parts = written(moved.select(*[c for c in active.columns if c != node_col], F.col("_below").alias(node_col), "_on"), by="_on" if counts.open else None)
-        at_rest.append(parts.where("not _on").drop("_on"))
-        active = parts.where("_on").drop("_on")
+        joined = _branched(active, chosen.select(node_col, "field", "threshold", "born", "goes_on", "large"), features, node_col)
+        goes = F.coalesce(F.get("goes_on", F.col("_bit")), F.lit(False))
+        to = F.when(~goes, 0).when(F.get("large", F.col("_bit")) | F.lit(level + 1 == strategy.max_depth), 1).otherwise(2)
+        own = [c for c in active.columns if c != node_col]
+        moved = joined.select(*own, F.col("_below").alias(node_col), F.get("born", F.col("_bit")).alias("_n"), to.alias("_to"))
+        parts = written(moved, by="_to" if counts.open else None)
+        at_rest.append(parts.where("_to = 0").drop("_to", "_n"))
+        small.append(parts.where("_to = 2").drop("_to"))
+        active = parts.where("_to = 1").drop("_to", "_n")
         sizes = chosen.select(F.posexplode("born").alias("b", "n"), node_col).select(child(F.col(node_col), F.col("b")).alias(node_col), "n")
-        if not counts.open or level + 1 == strategy.max_depth:
+        if not counts.large or level + 1 == strategy.max_depth:
             break
+    if small and fits:
+        below, ended = _small_subtrees(small, label, labels, features, strategy, node_col)
+        at_rest.append(ended)
+        if below.limit(1).count():
+            levels.append(below)
     members = active
     for part in at_rest:
         members = members.unionByName(part)
     return _nodes(levels, written(members.groupBy(node_col).agg(F.count("*").alias("n"))) if not levels else None, items.sparkSession, node_col), members
 
 
+def _small_subtrees(small: list[DataFrame], label: str, labels: list[str], features: list[str], strategy: Strategy, node_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rules below small nodes and the members there; a group holds one node's items."""
+    items = small[0]
+    for part in small[1:]:
+        items = items.unionByName(part)
+    ship(items.sparkSession)
+    fields = [f for f in items.schema.fields if f.name != "_n"]
+    names, strategy_, n_labels = sorted(features), strategy, len(labels)
+    ready = items.withColumn("_y", F.coalesce(F.array_position(F.array(*[F.lit(y) for y in labels]), F.col(label).cast("string")), F.lit(0)) - 1)
+    # numbers as rules see them, where a feature is of another type
+    as_double = {f: f if items.schema[f].dataType.typeName() == "double" else f"_v{i}" for i, f in enumerate(names)}
+    ready = ready.withColumns({c: F.col(f).cast("double") for f, c in as_double.items() if c != f})
+    of_rule = [("_depth", pa.int32()), ("_field", pa.string()), ("_threshold", pa.float64()), ("_fitness", pa.float64())]
+
+    def run(group: pa.Table) -> pa.Table:
+        values = [group[as_double[f]] for f in names]
+        x = np.column_stack([v.to_numpy().astype(np.float64) for v in values])
+        missing = np.column_stack([v.is_null().to_numpy() for v in values])
+        root, n = group[node_col][0].as_py(), group["_n"][0].as_py()
+        found, ends = subtrees.subtree(root, n, x, missing, group["_y"].to_numpy(), names, n_labels, strategy_)
+        kept = [pa.array(ends) if f.name == node_col else group[f.name] for f in fields]
+        members = pa.table([*kept, pa.array([False] * len(ends)), *[pa.nulls(len(ends), k) for _, k in of_rule]], [*[f.name for f in fields], "_is_rule", *[c for c, _ in of_rule]])
+        if not found:
+            return members
+        own = [pa.array([r[0] for r in found], pa.int64()) if f.name == node_col else pa.nulls(len(found), group[f.name].type) for f in fields]
+        more = [pa.array([r[i] for r in found], k) for i, (_, k) in enumerate(of_rule, 1)]
+        return pa.concat_tables([members, pa.table([*own, pa.array([True] * len(found)), *more], members.column_names)])
+
+    schema = items.select(*[f.name for f in fields]).withColumns({"_is_rule": F.lit(None).cast("boolean"), **{c: F.lit(None).cast(k) for c, k in zip([c for c, _ in of_rule], ("int", "string", "double", "double"))}}).schema
+    for f in schema.fields:
+        f.nullable = True
+    grown = written(ready.groupBy(node_col).applyInArrow(run, schema), by="_is_rule")
+    found = grown.where("_is_rule").select(node_col, *[F.col(f"_{c}").alias(c) for c in ("depth", "field", "threshold", "fitness")])
+    return found, grown.where("not _is_rule").select(*[f.name for f in fields])
+
+
 def _nodes(levels: list[DataFrame], root: DataFrame | None, spark, node_col: str) -> DataFrame:
     """Inner nodes, and the children of these that have no rule: leaves, with or without members."""
     kinds = "node_id long, depth int, field string, threshold double, fitness double, is_leaf boolean"
     if root is not None:
         none = [F.lit(None).cast(k).alias(c) for c, k in (("field", "string"), ("threshold", "double"), ("fitness", "double"))]
         return written(root.select(F.lit(1).cast("long").alias("node_id"), F.lit(0).alias("depth"), *none, F.lit(True).alias("is_leaf")).where("node_id is not null"))
+    levels = [level.select(F.col(node_col).alias("node_id"), "depth", "field", "threshold", "fitness", F.lit(False).alias("is_leaf")) for level in levels]
     inner = levels[0]
     for level in levels[1:]:
         inner = inner.unionByName(level)
-    inner = inner.select(F.col(node_col).alias("node_id"), "depth", "field", "threshold", "fitness", F.lit(False).alias("is_leaf"))
     born = inner.select(F.explode(F.array(*[child(F.col("node_id"), F.lit(b)) for b in (0, 1, 2)])).alias("node_id"), (F.col("depth") + 1).alias("depth"))
     leaves = born.join(inner.select("node_id"), "node_id", "left_anti")
     return written(inner.unionByName(leaves.withColumn("is_leaf", F.lit(True)), allowMissingColumns=True).select(*[c.split()[0] for c in kinds.split(", ")]))

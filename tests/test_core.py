@@ -338,3 +338,25 @@ def test_the_best_mix_stays_small_in_its_plan(spark, sf_dir):
 
     plan = rul7_best_mix(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert max(map(len, plan)) < 6000
+
+
+def test_subtrees_of_small_nodes_are_those_of_level_wise_growth(spark, monkeypatch):
+    import random
+
+    from ledgerleaf.operators import rules, subtrees, tree
+
+    rng, nan = random.Random(5), float("nan")
+    rows = [(i, rng.choice("abc"), rng.choice([None, nan, 0.0, -0.0, *range(9)]), rng.randrange(50), rng.random()) for i in range(260)]
+    rows = [(i, y if i % 29 else None, None if v is None else float(v), k + (y == "a") * 9, u + (y == "b") * 0.3) for i, y, v, k, u in rows]
+    items = spark.createDataFrame(rows, "id long, y string, f2 double, f10 int, f1 double")
+    strategy, found = tree.Strategy(branch_threshold=25, max_depth=5), []
+    levels, whole = [], rules.candidates
+    monkeypatch.setattr(rules, "candidates", lambda *a, **k: levels.append(1) or whole(*a, **k))
+    for values in (0, 3 * 120, subtrees.VALUES):
+        monkeypatch.setattr(subtrees, "VALUES", values)
+        levels.clear()
+        nodes, members = tree.grow(items, "y", ["f2", "f10", "f1"], strategy)
+        places = sorted((r.id, r.node_id) for r in members.select("id", "node_id").collect())
+        found.append((sorted((r.node_id, r.depth, r.field or "", r.threshold, round(r.fitness or 0, 9), r.is_leaf) for r in nodes.collect()), places, len(levels)))
+    assert found[0][:2] == found[1][:2] == found[2][:2] and len(found[0][1]) == len(rows) and len(found[0][0]) > 10
+    assert found[0][2] > found[1][2] > found[2][2] == 0
