@@ -20,6 +20,8 @@ from .ordered import global_rank
 
 #: A ternary tree of this depth still has its ids within 63 bits.
 MOST_DEPTH = 38
+#: Down to this depth a level has at most 3 ** FEW_DEPTH rules, which every worker can hold.
+FEW_DEPTH = 10
 
 
 @dataclass(frozen=True)
@@ -225,13 +227,14 @@ def _routed_once(members: DataFrame, chosen: DataFrame, features: list[str], nod
 
 
 def routed(items: DataFrame, nodes: DataFrame, features: list[str], node_col: str = "node_id") -> DataFrame:
-    """Items with the deepest node whose rules lead to them."""
-    inner = nodes.where("not is_leaf")
+    """Items with the deepest node whose rules lead to them; they stay in the tasks that read them, rules are sent there."""
+    # written, as Spark deals all items by their few nodes where it does not know how small the other side is
+    inner = written(nodes.where("not is_leaf").select("node_id", "depth", "field", "threshold"))
     deepest = inner.agg(F.max("depth")).first()[0]
     out = items.withColumn(node_col, F.lit(1).cast("long"))
     for level in range(0 if deepest is None else deepest + 1):
         rule = inner.where(F.col("depth") == level).select(F.col("node_id").alias(node_col), "field", "threshold")
-        out = _routed_once(out, rule, features, node_col)
+        out = _routed_once(out, F.broadcast(rule) if level <= FEW_DEPTH else rule, features, node_col)
     return out
 
 
@@ -259,7 +262,10 @@ def found(items: DataFrame, nodes: DataFrame, members: DataFrame, label: str, la
     """Each item with the node it comes to, the path there from the root, and the label counts of the members there."""
     here = routed(items, nodes, features)
     names = F.array_join(F.transform(path(F.col("node_id")), lambda b: b.cast("string")), "")
-    return here.join(label_histogram(members, label, labels), "node_id", "left").withColumn("path", names)
+    # as in routing: of known size, and under plain names, as labels may differ by case alone
+    counts = label_histogram(members, label, labels).withColumn("_path", names)
+    counts = written(counts.toDF(*[f"c{i}" for i in range(len(counts.columns))])).toDF(*counts.columns)
+    return here.join(counts, "node_id", "left").withColumn("path", F.coalesce("_path", names)).drop("_path")
 
 
 def info(nodes: DataFrame, members: DataFrame, label: str, labels: list[str]) -> DataFrame:

@@ -360,3 +360,29 @@ def test_subtrees_of_small_nodes_are_those_of_level_wise_growth(spark, monkeypat
         found.append((sorted((r.node_id, r.depth, r.field or "", r.threshold, round(r.fitness or 0, 9), r.is_leaf) for r in nodes.collect()), places, len(levels)))
     assert found[0][:2] == found[1][:2] == found[2][:2] and len(found[0][1]) == len(rows) and len(found[0][0]) > 10
     assert found[0][2] > found[1][2] > found[2][2] == 0
+
+
+@pytest.mark.parametrize("name, dealt", [("tre17_find", 1)])
+def test_items_are_not_dealt_by_the_few_nodes_that_they_come_to(spark, sf_dir, name, dealt):
+    from ledgerleaf.plans.trees import QUERIES
+
+    # the plan before it runs: what it becomes then hangs on which exchange is done first
+    plan = QUERIES[name][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == dealt
+
+
+def test_finds_name_paths_of_nodes_without_members(spark):
+    kinds = "node_id long, depth int, field string, threshold double, is_leaf boolean"
+    nodes = spark.createDataFrame([(1, 0, "x", 2.0, False), (3, 1, "x", 1.0, False), *[(i, 1 if i < 5 else 2, None, None, True) for i in (2, 4, 8, 9, 10)]], kinds)
+    items = spark.createDataFrame([(1, 3.0, "a"), (2, 1.5, "A"), (3, 0.5, "a"), (4, None, "A"), (5, 2.5, "A")], "id long, x double, y string")
+    members = tree.routed(items.where("id not in (2, 4)"), nodes, ["x"])
+    out = tree.found(items, nodes, members, "y", ["a", "A"], ["x"])
+    assert out.columns == ["node_id", "id", "x", "y", "n_a", "n_A", "path"]
+    assert sorted((r[1], r[0], r[4], r[5], r[6]) for r in out.collect()) == [(1, 2, 1, 1, "0"), (2, 8, None, None, "10"), (3, 9, 1, 0, "11"), (4, 4, None, None, "2"), (5, 2, 1, 1, "0")]
+
+
+def test_routing_under_a_lone_leaf_and_no_nodes(spark):
+    kinds = "node_id long, depth int, field string, threshold double, is_leaf boolean"
+    items = spark.createDataFrame([(1, 3.0)], "id long, x double")
+    for rows in ([], [(1, 0, None, None, True)]):
+        assert [tuple(r) for r in tree.routed(items, spark.createDataFrame(rows, kinds), ["x"]).collect()] == [(1, 3.0, 1)]
