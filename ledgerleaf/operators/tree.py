@@ -298,5 +298,6 @@ def predictions(members: DataFrame, label: str, node_col: str = "node_id") -> Da
 def accuracy(items: DataFrame, nodes: DataFrame, members: DataFrame, label: str, features: list[str]) -> DataFrame:
     """Share of items whose leaf's most frequent label is theirs."""
     hit = F.col(label).cast("string") == F.col("predicted")
-    found = routed(items, nodes, features).join(predictions(members, label), "node_id", "left")
+    # as in routing: of known size
+    found = routed(items, nodes, features).join(written(predictions(members, label)), "node_id", "left")
     return found.agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.avg(F.coalesce(hit, F.lit(False)).cast("double")).alias("accuracy"))

@@ -362,7 +362,7 @@ def test_subtrees_of_small_nodes_are_those_of_level_wise_growth(spark, monkeypat
     assert found[0][2] > found[1][2] > found[2][2] == 0
 
 
-@pytest.mark.parametrize("name, dealt", [("tre17_find", 1)])
+@pytest.mark.parametrize("name, dealt", [("tre17_find", 1), ("tre5_find", 1), ("tre20_accuracy", 0)])
 def test_items_are_not_dealt_by_the_few_nodes_that_they_come_to(spark, sf_dir, name, dealt):
     from ledgerleaf.plans.trees import QUERIES
 
